@@ -1,19 +1,50 @@
-"""documents -> training rows: the stages, each written as Parquet and read again by the next."""
+"""documents -> packed training rows: five stages, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents, whatever they are. Quality rules drop documents that fail; of near copies
+one document stays; documents that hold a benchmark item go; secrets are masked in the text of documents, which stay; what is left is
+packed. Rows with a null doc_id can't be told apart by it and pass the near-copy stage. An empty table passes every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scopeflow.llm import quality
+from scopeflow.llm import decontaminate, neardup, packing, quality, secrets
+from scopeflow.llm.queries import BYTE_BPE, CAPACITY
 from scopeflow.llm.storage import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    crf = quality.train_crf(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep_quality(docs, crf)
+    return quality.keep_quality(docs, quality.train_crf(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact_secrets(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keyed = docs.select("doc_id", "text", "source", packing.text_cluster(F.col("text")).alias("cluster"))
+    return packing.pack_documents(packing.token_lengths(keyed, BYTE_BPE, ["doc_id", "source", "cluster"]), docs.count(), CAPACITY)
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_dedup", minhash_dedup),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Line labelling, components and packing are beyond SQL; the tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scopeflow.llm import quality, urls
+from scopeflow.llm import chat, decontaminate, neardup, packing, quality, secrets, tokens, urls
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+CAPACITY = 2048
 
 URL_RULES = [
     urls.Rule("com", "/en/", "block"),
@@ -19,6 +25,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    keyed = documents.select("doc_id", "text", "source", packing.text_cluster(F.col("text")).alias("cluster"))
+    lengths = packing.token_lengths(keyed, BYTE_BPE, ["doc_id", "source", "cluster"])
+    return packing.pack_documents(lengths, documents.count(), CAPACITY)
+
+
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_tokens(tokens.write_tokens(_table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return quality.judge_quality(documents, quality.train_crf(documents, _table(spark, sf_dir, "labels")))
@@ -28,6 +53,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), WORD_BPE, CAPACITY)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -35,15 +72,38 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_token_binary": op2_token_binary,
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_chat_perspectives": op4_chat_perspectives,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
+    "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
+    "op9_secret_scan": op9_secret_scan,
     "pipeline": pipeline,
 }
 
 _HOST = "case when contains(url, '://') then translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end"
 _PATH = "case when contains(url, '://') then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end"
 
+_SAFE = "replace(replace({}, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>')"
+
 ORACLES: dict[str, str] = {
+    "op4_chat_perspectives": f"""
+with t as (select conv_id, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), text) - 1 as place from conversations),
+p as (select distinct conv_id, role as participant from t),
+x as (select t.conv_id, participant, place // 64 as part, place, role = participant as own,
+    case when role = participant then '<|im_start|>assistant' || chr(10) else '<|im_start|>user name=' || {_SAFE.format("role")} || chr(10) end as head,
+    {_SAFE.format("text")} || '<|im_end|>' as body
+  from t join p on t.conv_id is not distinct from p.conv_id),
+y as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, participant, part order by place
+    rows between unbounded preceding and 1 preceding), 0) + length(head) as a from x)
+select conv_id, participant, cast(part as bigint) as part, count(*) as n_turns, count(*) filter (where own) as n_masked,
+  string_agg(head || body, chr(10) order by place) as rendered,
+  coalesce(string_agg(cast(a as bigint) || ':' || cast(a + length(body) as bigint), ',' order by place) filter (where own), '') as mask
+from y group by all""",
     "op6_url_filter": f"""
 with u as (select page_id, {_HOST} as host, {_PATH} as path from pages),
 r(r_host, r_path, r_verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
