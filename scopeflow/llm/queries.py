@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopeflow.llm import chat, decontaminate, neardup, packing, quality, secrets, tokens, urls
+from scopeflow.llm import chat, decontaminate, neardup, packing, quality, repeats, secrets, tokens, urls
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -65,6 +65,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
+    "op10_repeat_removal": op10_repeat_removal,
     "pipeline": pipeline,
 }
 
