@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from scopeflow.llm.storage import remove, written
+from scopeflow.llm.storage import written
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -15,7 +15,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     sends its smaller neighbours, and itself, there. Both keep components, and end in stars around the least ids. Every step's edges
     are written to the shared folder. Minima are taken by aggregation, so a node with very many neighbours is no burden.
     """
-    spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), label)
     mark = None
     while True:
@@ -25,12 +24,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi")
         small = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(down.select("hi", F.col("m").alias("lo")))
-        then = written(small.distinct(), label)
-        row = then.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        remove(spark, *{p.rsplit("/", 1)[0] for p in now.inputFiles()[:1]})
-        now = then
-        if (row.n, row.h) == mark:
+        seen = Observation()
+        now = written(small.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")), label)
+        got = (seen.get["n"], seen.get["h"])
+        if got == mark:
             break
-        mark = (row.n, row.h)
+        mark = got
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.unionAll(stars.select("component", "component").distinct().toDF("node", "component"))

@@ -10,7 +10,8 @@ a shingle's values for all coordinates are one contiguous run of pi.
 
 Work follows links, not pairs: equal sets form a class that is represented once; in each bucket of a band, members are compared with
 the bucket's hub, first one hub, then another drawn by hash; pairs of members that are still in different components are then
-compared all. So a large group of copies costs as many comparisons as it has members, and no link between components is missed.
+compared all, but for those of which one side shares too few shingles with other components for any link. So a large group of copies
+costs as many comparisons as it has members, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -135,6 +136,20 @@ def _sized(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _able(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members that can be linked to another component at all, with ``shared``, the number of their shingles that another component has.
+
+    A link takes |A & B| >= 3 / 7 * (|A| + |B|), and what A shares with B is shared with another component: so no pair with fewer is lost.
+    """
+    ids = members.select(F.col("rep").alias("doc_id"), "component").distinct()
+    rows = sets.join(ids, "doc_id").select("doc_id", "component", F.explode("own").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    shared = rows.join(common, "shingle", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("shared"))
+    able = written(members.join(shared, "rep").where("4 * shared >= 3 * n"), "able")
+    mixed = able.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    return able.join(mixed, "bucket", "left_semi")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id)."""
     docs = written(sketches(documents), "sketches")
@@ -148,7 +163,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     first = written(_sized(members.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))), "pairs")
     links = written(_linked(first, sets), "links")
-    found = written(components(links), "labels")
+    found = components(links)
 
     def labelled(labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component, with theirs."""
@@ -163,15 +178,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     more = written(_linked(second, sets), "links")
     links = links.unionAll(more)
     if not more.isEmpty():
-        found = written(components(links), "labels")
+        found = components(links)
         now = written(labelled(found), "mixed")
-    one = now.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    two = now.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = one.join(two, "bucket").where("c_a < c_b")
+    now = _able(now, sets)
+    one = now.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("shared").alias("s_a"))
+    two = now.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("shared").alias("s_b"))
+    rest = one.join(two, "bucket").where("c_a < c_b and 7 * least(s_a, s_b) >= 3 * (n_a + n_b)")
     rest = written(_sized(rest).join(first.unionAll(second), ["a", "b"], "left_anti"), "pairs")
     more = written(_linked(rest, sets), "links")
     if not more.isEmpty():
-        found = written(components(links.unionAll(more)), "labels")
+        found = components(links.unionAll(more))
 
     labels = found.withColumnRenamed("node", "rep")
     classes = classes.select("key1", "key2", "n_shingles", "rep").join(labels, "rep", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("component"))
