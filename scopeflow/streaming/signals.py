@@ -16,7 +16,7 @@ def read_signals(spark: SparkSession, path: str) -> DataFrame:
 
 def leak_windows(signals: DataFrame, width: str = "1 day", late: str = "1 hour", systems: int = 100) -> DataFrame:
     """Signals per system and window. On a stream, repeated events within the lateness count once and windows close after it."""
-    rows = signals.withWatermark("ts", late) if signals.isStreaming else signals
+    rows = signals.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if signals.isStreaming else signals
     rows = rows.dropDuplicatesWithinWatermark(["event_id"]) if signals.isStreaming else rows.dropDuplicates(["event_id"])
     rows = rows.withColumn("system", F.concat(F.lit("S"), F.pmod(F.col("user_id"), F.lit(systems))))
     return rows.groupBy(F.window("ts", width).alias("w"), "system").agg(F.count("*").alias("signals")).select(F.col("w.start").alias("window_start"), "system", "signals")
