@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopeflow.llm import textkit as tk
-from scopeflow.llm.tokens import PieceEncoder
+from scopeflow.llm.tokens import encoder_of
 
 SHARD_PIECES = 4096
 
@@ -99,7 +99,7 @@ def token_lengths(documents: DataFrame, path: str, columns: list[str], length_co
     schema = out.select(*columns, F.lit(0).cast("long").alias(length_col)).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for a, b, _, _ in tk.slices(batch.column("text")):
                 part = batch.slice(a, b - a)

@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +76,10 @@ class PieceEncoder:
         return b"".join(map(self.known.__getitem__, pieces))
 
 
-def count_ids(column: pa.Array, encoder: PieceEncoder) -> np.ndarray:
-    return np.array([len(encoder.encode(t)) // encoder.width for t in tk.text_column(column).to_pylist()], np.int64)
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> PieceEncoder:
+    """A worker's encoder: tasks that follow find what it has learnt."""
+    return PieceEncoder(path)
 
 
 # ---- whole-token shortcut ------------------------------------------------------------------------------------------------------
@@ -127,12 +130,17 @@ class WordCounter:
         return sum(map(self.known.__getitem__, pieces))
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str, whole: frozenset[str]) -> WordCounter:
+    return WordCounter(path, whole)
+
+
 def count_tokens(documents: DataFrame, path: str, limit: int) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document. The vocabulary's whole tokens are broadcast: no more than it has entries."""
     whole = documents.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = WordCounter(path, whole.value)
+        counter = counter_of(path, whole.value)
         for batch in batches:
             for a, b, _, offsets in tk.slices(batch.column("text")):
                 part = batch.slice(a, b - a)
@@ -244,7 +252,7 @@ def write_tokens(documents: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = PieceEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         own: list = []
         size = 0
