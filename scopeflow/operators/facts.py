@@ -44,9 +44,9 @@ def risk_of(settings: Settings) -> Column:
     return w.sensitivity * F.col("tier") / 4 + w.reach * F.col("reach_norm") + w.betweenness * F.col("b_norm") + w.source * F.col("source_flag")
 
 
-def scores(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+def scores(nodes: DataFrame, edges: DataFrame, settings: Settings) -> DataFrame:
     """(id, reach, out_degree, in_degree, b_norm, reach_norm, source_flag, risk)."""
-    down = pairs.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("reach"))
+    down = rc.reach_counts(edges)
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
     rows = nodes.select("id", "tier", any_of(F.col("carries_pan"), F.col("observed")).alias("holds"))
@@ -66,13 +66,13 @@ def confirmed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def facts(nodes: DataFrame, edges: DataFrame, flat: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    """The table of all systems. ``edges`` are the rows, ``flat`` the distinct pairs, ``pairs`` their closure."""
+    """The table of all systems. ``edges`` are the rows, ``flat`` the distinct pairs, ``pairs`` their closure from the sources."""
     origins = true_origins(nodes, pairs)
     sources = nodes.where("carries_pan or observed").select("id")
     above = ancestry(pairs, origins)
     counts = above.groupBy("id").agg(F.count("*").alias("origin_count"))
     only = above.join(counts.where("origin_count = 1"), "id", "left_semi").where("origin <> id").groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("solo"))
-    out = nodes.join(scores(nodes, flat, pairs, settings), "id")
+    out = nodes.join(scores(nodes, flat, settings), "id")
     for name, part in (("is_origin", origins), ("in_scope", reached(pairs, sources)), ("confirmed", confirmed(nodes, edges))):
         out = out.join(part.withColumn(name, F.lit(True)), "id", "left")
     out = out.join(counts, "id", "left").join(only, "id", "left").fillna(0, ["origin_count", "solo"]).fillna(False, ["is_origin", "in_scope", "confirmed"])

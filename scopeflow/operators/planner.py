@@ -1,5 +1,6 @@
-"""Which sources to tokenize. Plans work on atoms (sets of origins that must all go, with the number of systems that then leave scope),
-of which there are at most as many as distinct ancestor sets; they come to the driver only within MAX_ATOMS.
+"""Which sources to tokenize. Plans work on atoms: sets of origins that must all go, with the number of systems that then leave scope.
+
+A plan of k picks can complete no atom of more than k origins, so only atoms of up to k come to the driver, and only within MAX_ATOMS.
 """
 
 from __future__ import annotations
@@ -20,21 +21,23 @@ MAX_ATOMS = 200_000
 class Instance:
     atoms: tuple[tuple[frozenset[str], int], ...]
     by_reach: tuple[str, ...]
+    descopable: int | None = None  # all systems that can leave, where atoms are not all
 
     @property
     def total(self) -> int:
-        return sum(w for _, w in self.atoms)
+        return sum(w for _, w in self.atoms) if self.descopable is None else self.descopable
 
     def freed(self, chosen: frozenset[str]) -> int:
         return sum(w for a, w in self.atoms if a <= chosen)
 
 
-def instance(estate) -> Instance:
-    rows = estate.atoms.orderBy(F.desc("weight"), "origins").limit(MAX_ATOMS + 1).collect()
+def instance(estate, picks: int = 25) -> Instance:
+    """What plans of up to ``picks`` sources need."""
+    rows = estate.atoms.where(F.col("size") <= picks).orderBy(F.desc("weight"), "origins").limit(MAX_ATOMS + 1).collect()
     if len(rows) > MAX_ATOMS:
         raise ValueError(f"more than {MAX_ATOMS} distinct sets of origins: plan for one island at a time")
     order = [r.origin for r in origin_ranks(estate).orderBy("rank").limit(MAX_ATOMS).collect()]
-    return Instance(tuple((frozenset(r.origins.split(",")), r.weight) for r in rows), tuple(order))
+    return Instance(tuple((frozenset(r.origins.split(",")), r.weight) for r in rows), tuple(order), estate.atoms.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
 
 
 def greedy(inst: Instance, steps: int, pool: int | None = None, strict: bool = False, enough: float | None = None) -> list[tuple[str, int, int]]:
@@ -71,7 +74,7 @@ def cumulative_curve(estate, inst: Instance, steps: int = 25) -> DataFrame:
     if not picks:
         return estate.spark.createDataFrame([], "k long, last_source string, marginal_descoped long, cumulative_descoped long, cumulative_feeds_removed long")
     rows = estate.spark.createDataFrame([(i + 1, *p) for i, p in enumerate(picks)], "k long, last_source string, marginal_descoped long, cumulative_descoped long")
-    down = estate.pairs.where("src <> dst").join(rows.select(F.col("last_source").alias("src"), "k"), "src").join(estate.scope.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    down = estate.source_pairs.where("src <> dst").join(rows.select(F.col("last_source").alias("src"), "k"), "src").join(estate.scope.withColumnRenamed("id", "dst"), "dst", "left_semi")
     first = down.groupBy("dst").agg(F.min("k").alias("at")).groupBy("at").agg(F.count("*").alias("m"))
     fed = rows.join(first, F.col("at") <= F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("cumulative_feeds_removed"))
     return rows.join(fed, "k")

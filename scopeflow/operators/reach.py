@@ -66,6 +66,99 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, limit: int = LOCAL
             seen = written(seen, "closure")
 
 
+BLOCK = 4096  # targets that one task tracks as bits of a number
+
+
+def reach_counts(edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:
+    """(id, reach): how many other nodes each node reaches; nodes that reach none are left out. No pair is made: nodes are taken against the flow,
+    and each one's set is the union of its successors' sets, as bits; a task for each block of targets.
+    """
+    edges = edges.select("src", "dst").distinct()
+    local = adjacency(edges, limit)
+    if local is None:
+        return closure(edges, limit=limit).where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("reach"))
+    n = len(local.value.keys() | {v for vs in local.value.values() for v in vs})
+    blocks = edges.sparkSession.range(0, max(1, -(-n // BLOCK)), 1, max(1, -(-n // BLOCK)))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = local.value
+        order = strong_components(graph)
+        number = {v: i for i, v in enumerate(sorted(v for group in order for v in group))}
+        for frame in frames:
+            for block in frame["id"]:
+                low, bits = int(block) * BLOCK, {}
+                found: dict[str, int] = {}
+                for group in order:  # successors come first
+                    own = 0
+                    for u in group:
+                        for v in graph.get(u, ()):
+                            own |= bits.get(v, 0)
+                            if low <= number[v] < low + BLOCK:
+                                own |= 1 << (number[v] - low)
+                    for u in group:
+                        bits[u] = own
+                        at = number[u] - low
+                        m = own.bit_count() - (0 <= at < BLOCK and own >> at & 1)
+                        if m:
+                            found[u] = m
+                yield pd.DataFrame({"id": pd.Series(list(found), dtype="object"), "reach": pd.array(list(found.values()), "int64")})
+
+    return blocks.mapInPandas(count, "id string, reach long").groupBy("id").agg(F.sum("reach").alias("reach"))
+
+
+def strong_components(graph: dict[str, list[str]]) -> list[list[str]]:
+    """Cycle clusters and single nodes, each after all that it leads to. Depth-first with an explicit stack."""
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    on_hold: set[str] = set()
+    out: list[list[str]] = []
+    for root in sorted(graph):
+        if root in index:
+            continue
+        work = [(root, iter(graph.get(root, ())))]
+        index[root] = low[root] = len(index)
+        held.append(root)
+        on_hold.add(root)
+        while work:
+            u, rest = work[-1]
+            for v in rest:
+                if v not in index:
+                    index[v] = low[v] = len(index)
+                    held.append(v)
+                    on_hold.add(v)
+                    work.append((v, iter(graph.get(v, ()))))
+                    break
+                if v in on_hold:
+                    low[u] = min(low[u], index[v])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[u])
+                if low[u] == index[u]:
+                    group = []
+                    while not group or group[-1] != u:
+                        group.append(held.pop())
+                        on_hold.discard(group[-1])
+                    out.append(group)
+    return out
+
+
+def cycle_labels(edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:
+    """(id, scc): the least id of each node's cycle cluster; nodes on no cycle are left out."""
+    local = adjacency(edges, limit)
+    if local is None:
+        return same_component(closure(edges, limit=limit))
+
+    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = local.value
+        for _ in frames:
+            rows = [(v, min(group)) for group in strong_components(graph) for v in group if len(group) > 1 or v in graph.get(v, ())]
+            yield pd.DataFrame(rows, columns=["id", "scc"], dtype="object")
+
+    return edges.sparkSession.range(1).coalesce(1).mapInPandas(label, "id string, scc string")
+
+
 def same_component(pairs: DataFrame) -> DataFrame:
     """(id, scc) from a closure: the least id with which each node is on a cycle; nodes on none are left out."""
     back = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))

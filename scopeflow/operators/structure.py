@@ -58,7 +58,7 @@ def islands(estate) -> DataFrame:
 
 def depth(estate) -> int:
     """Edges of the longest path within scope, cycle clusters taken as one."""
-    c = rc.same_component(rc.closure(estate.scope_edges))
+    c = rc.cycle_labels(estate.scope_edges)
     e = estate.scope_edges
     for end in ("src", "dst"):
         e = e.join(c.select(F.col("id").alias(end), F.col("scc").alias("s")), end, "left").withColumn(end, F.coalesce("s", end)).drop("s")

@@ -52,22 +52,29 @@ def widest(estate) -> str | None:
     return first.id if first else None
 
 
+def below(estate, root: str, up: bool = False) -> DataFrame:
+    """(id, hops) of all that one system reaches, or that reaches it."""
+    e = estate.flat if not up else estate.flat.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    start = estate.spark.createDataFrame([(root,)], "id string")
+    return rc.closure(e, start).where(F.col("dst") != root).select(F.col("dst").alias("id"), "hops")
+
+
 def hop_rings(estate, root: str) -> DataFrame:
     """Systems by distance below one source."""
-    return estate.pairs.where((F.col("src") == root) & (F.col("dst") != root)).groupBy("hops").agg(F.count("*").alias("systems"))
+    return below(estate, root).groupBy("hops").agg(F.count("*").alias("systems"))
 
 
 def blast_radius(estate, root: str) -> DataFrame:
     """Systems in scope below one source, and whether it alone reaches them."""
-    down = estate.pairs.where((F.col("src") == root) & (F.col("dst") != root)).select(F.col("dst").alias("id"), "hops")
+    down = below(estate, root)
     f = estate.facts.where("in_scope").select("id", "origin_count")
     return down.join(f, "id").select("id", "hops", F.when(F.col("origin_count") == 1, "solo").otherwise("feed").alias("kind"))
 
 
 def trace_lineage(estate, target: str, most: int = 5) -> DataFrame:
     """A shortest path to ``target`` from each of the ``most`` least source ids that reach it, each step to the least id that keeps it shortest."""
-    into = estate.pairs.where(F.col("dst") == target).select(F.col("src").alias("id"), "hops")
-    sources = into.join(estate.facts.where("is_source").select("id"), "id").where(F.col("id") != target).orderBy("id").limit(most)
+    into = below(estate, target, up=True)
+    sources = into.join(estate.facts.where("is_source").select("id"), "id").orderBy("id").limit(most)
     walks = sources.select(F.col("id").alias("source"), F.col("id").alias("at"), "hops", F.col("id").alias("path"))
     done = walks.where("hops < 0")
     far = sources.agg(F.max("hops")).first()[0] or 0

@@ -137,6 +137,8 @@ on_estate("closure", lambda e: e.pairs, """, lv as (select src, dst, 1 as hops f
 select src, dst, cast(min(hops) as int) as hops from lv group by src, dst""", GRAPH)
 on_estate("closure_by_joins", lambda e: rc.closure(e.flat, e.nodes.where("observed"), limit=0), """, lv as (select src, dst, 1 as hops from e where src in (select id from n where observed) union select lv.src, e.dst, lv.hops + 1 from lv join e on lv.dst = e.src where lv.hops < 60)
 select src, dst, cast(min(hops) as int) as hops from lv group by src, dst""", GRAPH)
+on_estate("reach_by_joins", lambda e: rc.reach_counts(e.flat, limit=0), "select * from reach", GRAPH)
+on_estate("scc_by_joins", lambda e: rc.cycle_labels(e.flat, limit=0), "select id, scc from scc where id in (select src from c where src = dst)", GRAPH)
 on_estate("downstream_reach", lambda e: e.facts.select("id", "reach"), "select id, coalesce(reach, 0) as reach from n left join reach using (id)", GRAPH)
 on_estate("ancestors", lambda e: e.pairs.where("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("ancestors")), "select dst as id, count(*) as ancestors from cc group by dst", GRAPH)
 on_estate("scc", lambda e: e.components, "select id, scc from scc", GRAPH)
@@ -169,7 +171,7 @@ on_estate("ego_graph", lambda e: rc.ego(e.flat, "S50", 2), """, g as (select 'S5
 select id, cast(min(hop) as int) as hop from g group by id""", GRAPH)
 on_estate("hop_rings", lambda e: vw.hop_rings(e, vw.widest(e)), f""", ring as (select id as dst, 0 as hops from {_TOP} union select e.dst, hops + 1 from ring join e on e.src = ring.dst where hops < 60)
 select cast(hops as int) as hops, count(*) as systems from (select dst, min(hops) as hops from ring group by dst) where hops > 0 group by hops""")
-on_estate("setop_union_scope", lambda e: fc.reached(e.pairs, e.nodes.where("carries_pan or observed")), "select id from scope", GRAPH)
+on_estate("setop_union_scope", lambda e: fc.reached(e.source_pairs, e.nodes.where("carries_pan or observed")), "select id from scope", GRAPH)
 on_estate("setop_intersect_confirmed", lambda e: fc.confirmed(e.nodes, e.edges).intersect(e.scope), "select id from conf intersect select id from scope", GRAPH)
 on_estate("setop_except_inferred", lambda e: e.scope.exceptAll(fc.confirmed(e.nodes, e.edges).intersect(e.scope)), "select id from scope except select id from conf", GRAPH)
 
@@ -226,7 +228,7 @@ la as (select above.id, max(rank) as last from above join orank on orank.id = ab
 ks as (select distinct cast(case when i = 12 then m else round_even((i * m / 12)::double, 0) end as bigint) as k, m from range(13) r(i), (select count(*) as m from o))
 select k, round_even((100 * k / greatest(m, 1))::double, 1) as pct_sources, (select count(*) from la where last <= k) as fully_descoped from ks""")
 on_estate("tokenization_plan", lambda e: pl.tokenization_plan(e, _instance(e)))
-on_estate("coverage_atoms", lambda e: e.atoms, ", sets as (select id, string_agg(origin, ',' order by origin) as origins from above where id in (select id from scope) and id not in (select id from o) group by id) select origins, count(*) as weight from sets group by origins", GRAPH)
+on_estate("coverage_atoms", lambda e: e.atoms.select("origins", "weight"), ", sets as (select id, string_agg(origin, ',' order by origin) as origins from above where id in (select id from scope) and id not in (select id from o) group by id) select origins, count(*) as weight from sets group by origins", GRAPH)
 on_estate("descope_frontier", lambda e: pl.frontier(e, _instance(e)))
 on_estate("frontier_milestones", lambda e: pl.milestones(pl.frontier(e, _instance(e))))
 

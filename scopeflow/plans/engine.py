@@ -143,7 +143,7 @@ class Run:
             self.state = "aborted"
             return self.state
         self.engine = Engine(estate)
-        self._stage("graph", lambda: estate.pairs)
+        self._stage("graph", lambda: estate.source_pairs)
         self._stage("dag", lambda: estate.components)
         self._stage("score", lambda: estate.facts)
         return self._analyze()

@@ -45,12 +45,17 @@ class Estate:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """The closure: the table that nearly all operators read."""
+        """The whole closure, for questions on any system. Its size can be the square of the estate's; the other tables don't need it."""
         return written(rc.closure(self.flat), "pairs")
 
+    @cached_property
+    def source_pairs(self) -> DataFrame:
+        """The closure from the sources of card data: the table behind scope, origins, and plans."""
+        return written(rc.closure(self.flat, self.nodes.where("carries_pan or observed")), "source_pairs")
+
     @cached_property
     def facts(self) -> DataFrame:
-        return written(fc.facts(self.nodes, self.edges, self.flat, self.pairs, self.settings), "facts")
+        return written(fc.facts(self.nodes, self.edges, self.flat, self.source_pairs, self.settings), "facts")
 
     @cached_property
     def origins(self) -> DataFrame:
@@ -63,12 +68,12 @@ class Estate:
     @cached_property
     def above(self) -> DataFrame:
         """(origin, id) for all systems in scope."""
-        return written(fc.ancestry(self.pairs, self.origins), "above")
+        return written(fc.ancestry(self.source_pairs, self.origins), "above")
 
     @cached_property
     def components(self) -> DataFrame:
         """(id, scc) of every system: the least id of its cycle cluster, or its own."""
-        return written(self.nodes.select("id").join(rc.same_component(self.pairs), "id", "left").select("id", F.coalesce("scc", "id").alias("scc")), "scc")
+        return written(self.nodes.select("id").join(rc.cycle_labels(self.flat), "id", "left").select("id", F.coalesce("scc", "id").alias("scc")), "scc")
 
     @cached_property
     def scope_edges(self) -> DataFrame:
@@ -78,7 +83,7 @@ class Estate:
 
     @cached_property
     def atoms(self) -> DataFrame:
-        """(origins, weight): systems that can leave scope, by the set of origins that must all go first."""
+        """(origins, size, weight): systems that can leave scope, by the set of origins that must all go first."""
         free = self.facts.where("in_scope and not is_origin and not always_cde").select("id")
-        sets = self.above.join(free, "id", "left_semi").groupBy("id").agg(rc.joined(F.collect_set("origin")).alias("origins"))
-        return written(sets.groupBy("origins").agg(F.count("*").alias("weight")), "atoms")
+        sets = self.above.join(free, "id", "left_semi").groupBy("id").agg(F.count("*").alias("size"), rc.joined(F.collect_set("origin")).alias("origins"))
+        return written(sets.groupBy("origins", "size").agg(F.count("*").alias("weight")), "atoms")
