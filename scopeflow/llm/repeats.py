@@ -34,6 +34,7 @@ from scopeflow.llm.suffixes import sort_suffixes
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams of a window, and so the most windows of a segment: fits a 32-bit mask
 BLOCK_BYTES = 3 << 20
+SORT_BYTES = 1 << 20  # text that is sorted at a time
 _BASE = 0xC2B2AE3D27D4EB4F
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -286,18 +287,23 @@ def least_docs(docs: np.ndarray, counts: np.ndarray, offsets: np.ndarray, data:
     mixed = often[which] > 1
     at = np.cumsum(d_count) - d_count
     windows = np.repeat(least, d_count)
-    if mixed.any():
-        m_start, m_count = d_start[mixed], d_count[mixed]
-        m_size = m_count + LENGTH - 1
-        text = data[_ranges(m_start, m_size)]
-        places = _ranges(np.cumsum(m_size) - m_size, m_count)
-        order, classes = sort_suffixes(text, places, LENGTH)
-        docs_of = np.repeat(least[mixed], m_count)
+    # Equal windows have one minimizer, so the text of any whole minimizers can be sorted by itself: SORT_BYTES or one minimizer at a time.
+    own = np.flatnonzero(mixed)[np.argsort(which[mixed], kind="stable")]
+    ends = np.cumsum(d_count[own] + LENGTH - 1)
+    last = np.flatnonzero(np.r_[which[own][1:] != which[own][:-1], True]) if len(own) else own
+    a = done = 0
+    while a < len(own):
+        b = int(last[min(np.searchsorted(ends[last], done + SORT_BYTES), len(last) - 1)]) + 1
+        part = own[a:b]
+        size = d_count[part] + LENGTH - 1
+        places = _ranges(np.cumsum(size) - size, d_count[part])
+        order, classes = sort_suffixes(data[_ranges(d_start[part], size)], places, LENGTH)
         best = np.full(int(classes[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, classes, docs_of[order])
+        np.minimum.at(best, classes, np.repeat(least[part], d_count[part])[order])
         of = np.empty(len(places), np.int64)
         of[order] = classes
-        windows[_ranges(at[mixed], m_count)] = best[of]
+        windows[_ranges(at[part], d_count[part])] = best[of]
+        a, done = b, int(ends[b - 1])
     return windows[_ranges(at[same], counts)]
 
 

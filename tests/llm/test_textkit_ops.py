@@ -503,6 +503,7 @@ def test_repeats(docs):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_repeats_of_pieces(spark, seed, monkeypatch):
+    monkeypatch.setattr(repeats, "SORT_BYTES", 2000)
     r = random.Random(seed)
     pool = "".join(r.choice("ab" if seed == 1 else "abcdefg h") for _ in range(900))
     rows = [(r.randrange(40), "".join(pool[(a := r.randrange(850)) : a + r.randrange(20, 130)] for _ in range(r.randrange(1, 6)))) for _ in range(50)]
