@@ -110,9 +110,8 @@ def token_lengths(documents: DataFrame, path: str, columns: list[str], length_co
 
 
 def text_cluster(text: F.Column) -> F.Column:
-    """The cluster of exact copies: equal texts but for case and white space; null for a text without words."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
-    return F.when(words != "", F.substring(F.sha2(words, 256), 1, 32))
+    """The cluster of exact copies; null for an empty text."""
+    return F.when(F.coalesce(text, F.lit("")) != "", F.md5(text))
 
 
 def pack_documents(lengths: DataFrame, n_rows: int, capacity: int = 2048, id_col: str = "doc_id", length_col: str = "n_tokens", source_col: str = "source", cluster_col: str = "cluster") -> DataFrame:
@@ -122,19 +121,18 @@ def pack_documents(lengths: DataFrame, n_rows: int, capacity: int = 2048, id_col
     """
     n_shards = max(1, round(n_rows / SHARD_PIECES))
     rows = lengths.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"), F.col(length_col).cast("long").alias("n"))
-    empty = rows.where("n = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_start"))
-    pieces = rows.where("n > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))))
+    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.col("n") - 1) / capacity).cast("int")))))
     pieces = pieces.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start")))
     shard = F.pmod(F.xxhash64("doc_id", "cluster", "n", "piece"), F.lit(n_shards)).cast("int")
     pieces = pieces.select(shard.alias("shard"), "doc_id", "source", "cluster", "piece", "start", "length")
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
-        placed = pack(list(zip(table["length"].to_pylist(), table["source"].to_pylist(), table["cluster"].to_pylist())), capacity)
+        n = table.num_rows - int(np.count_nonzero(table["length"].to_numpy() == 0))  # empty ones come last and get no bin
+        placed = pack(list(zip(*(table[c].slice(0, n).to_pylist() for c in ("length", "source", "cluster")))), capacity)
         first = table["shard"][0].as_py() << 32
-        bin_id, bin_start = np.array(placed, np.int64).reshape(-1, 2).T
-        return pa.table([table["doc_id"], table["piece"], table["start"], table["length"], pa.array(bin_id + first), pa.array(bin_start)], names=["doc_id", "piece", "start", "length", "bin_id", "bin_start"])
+        bins = [pa.array([first + b for b, _ in placed] + [None] * (table.num_rows - n), pa.int64()), pa.array([at for _, at in placed] + [None] * (table.num_rows - n), pa.int64())]
+        return pa.table([*(table[c] for c in ("doc_id", "piece", "start", "length")), *bins], names=["doc_id", "piece", "start", "length", "bin_id", "bin_start"])
 
     id_type = lengths.schema[id_col].dataType.simpleString()
-    out = pieces.groupBy("shard").applyInArrow(packed, f"doc_id {id_type}, piece int, start long, length long, bin_id long, bin_start long")
-    return out.unionAll(empty)
+    return pieces.groupBy("shard").applyInArrow(packed, f"doc_id {id_type}, piece int, start long, length long, bin_id long, bin_start long")

@@ -1,7 +1,7 @@
 """Token ids, token counts and the binary file format.
 
 Both public tokenizers merge within pre-tokens only, so a text's ids are those of its pre-tokens in turn. Texts of plain Latin
-letters are split here and each distinct pre-token is encoded once by the library; any other text (a code point from U+0180 on, or
+letters are split here and each distinct pre-token is merged by the library's model; any other text (a code point from U+0180 on, or
 a special token's string) is given to the library whole. Either way the ids are the library's.
 Null text counts as empty; long texts are encoded whole; repeated rows are encoded alike.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,8 +30,27 @@ _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_PIECES = re.compile(f"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 WORD_PIECES = re.compile(f"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _PLAIN = re.compile("[\x00-ſ]*")
-#: Entries of a worker's memory of pre-tokens; at this size it is emptied.
-MEMORY = 300_000
+#: Entries of a generation of a worker's memory of pre-tokens.
+MEMORY = 200_000
+
+
+class Memory(dict):
+    """Values that ``find`` gives for keys, kept while they were used in this generation or the one before: so frequent ones stay, and no more
+    than 2 * MEMORY are held."""
+
+    def __init__(self, find: Callable[[str], object], given: dict | None = None):
+        super().__init__()
+        self.find, self.before = find, given or {}
+
+    def __missing__(self, key: str):
+        value = self.before.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= MEMORY:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def load(path: str):
@@ -43,6 +62,21 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-in of each byte in a byte-level vocabulary: printable bytes stand for themselves, the others for U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+_STAND_INS = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
+
+
+def stand_ins(piece: str) -> str:
+    """A pre-token as the vocabulary writes it."""
+    return piece.encode().decode("latin-1").translate(_STAND_INS)
+
+
 def _plain(text: str) -> bool:
     return "<|" not in text and _PLAIN.fullmatch(text) is not None
 
@@ -52,28 +86,18 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        self.merge = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        todo = list(pieces.difference(self.known))
-        if not todo:
-            return
-        if len(self.known) + len(todo) > MEMORY:
-            self.known.clear()
-            todo = list(pieces)
-        for piece, got in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            self.known[piece] = np.array(got.ids, f"<u{self.width}").tobytes()
+        self.kind = np.dtype(f"<u{self.width}")
+        self.known = Memory(self._merged)
+
+    def _merged(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.merge(stand_ins(piece))], self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not _plain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-        pieces = BYTE_PIECES.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            self._learn(set(pieces))
-        return b"".join(map(self.known.__getitem__, pieces))
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.known.__getitem__, BYTE_PIECES.findall(text)))
 
 
 @lru_cache(maxsize=2)
@@ -85,16 +109,9 @@ def encoder_of(path: str) -> PieceEncoder:
 # ---- whole-token shortcut ------------------------------------------------------------------------------------------------------
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of each byte in a byte-level vocabulary: printable bytes stand for themselves, the others for U+0100 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def whole_tokens(path: str) -> frozenset[str]:
     """Pre-tokens that are one token alone: proved by encoding every vocabulary string that ends a word."""
-    tokenizer, alphabet = load(path), _byte_alphabet()
+    tokenizer, alphabet = load(path), byte_alphabet()
     surfaces = []
     for entry in tokenizer.get_vocab():
         if entry.endswith("</w>"):
@@ -108,26 +125,18 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 
 class WordCounter:
+    """Numbers of tokens. Pre-tokens that are whole tokens count at once; only the others are merged by the library."""
+
     def __init__(self, path: str, whole: frozenset[str]):
-        self.tokenizer, self.whole = load(path), whole
-        self.known = dict.fromkeys(whole, 1)
+        self.tokenizer = load(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.whole = dict.fromkeys(whole, 1)
+        self.known = Memory(lambda piece: self.whole.get(piece) or len(self.merge(stand_ins(piece))))
 
     def count(self, text: str) -> int:
         if not _plain(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces = WORD_PIECES.findall(text.lower())
-        try:
-            return sum(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        distinct = set(pieces)
-        todo = list(distinct.difference(self.known))
-        if len(self.known) + len(todo) > MEMORY:
-            self.known = dict.fromkeys(self.whole, 1)
-            todo = list(distinct.difference(self.known))
-        for piece, got in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            self.known[piece] = len(got.ids)
-        return sum(map(self.known.__getitem__, pieces))
+        return sum(map(self.known.__getitem__, WORD_PIECES.findall(text.lower())))
 
 
 @lru_cache(maxsize=2)

@@ -248,6 +248,12 @@ def test_latin_texts_equal_the_library(text):
     test_encoders_equal_the_library(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(hs.text(alphabet=" \n\ta'sé1!", max_size=40))
+def test_white_space_equals_the_library(text):
+    test_encoders_equal_the_library(text)
+
+
 def test_count_tokens(docs):
     got = collected(tokens.count_tokens(docs, llm.WORD_BPE, 2048), "doc_id", "n_bytes", "n_tokens", "over_limit")
     counter = tokens.counter_of(llm.WORD_BPE, WHOLE)
