@@ -92,8 +92,8 @@ def saturation(estate, points: int = 12) -> DataFrame:
     ks = ranks.crossJoin(F.broadcast(n)).select(F.when(F.col("i") == points, F.col("n")).otherwise(F.bround(F.col("i") * F.col("n") / points)).cast("long").alias("k"), "n").distinct()
     free = estate.facts.where("in_scope and not is_origin").select("id")
     last = estate.above.join(free, "id", "left_semi").join(origin_ranks(estate), "origin").groupBy("id").agg(F.max("rank").alias("at")).groupBy("at").agg(F.count("*").alias("m"))
-    got = ks.join(F.broadcast(last), F.col("at") <= F.col("k"), "left").groupBy("k", "n").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("fully_descoped"))
-    return got.select("k", F.bround(100 * F.col("k") / F.greatest("n", F.lit(1)), 1).alias("pct_sources"), "fully_descoped")
+    got = last.join(F.broadcast(ks.select("k")), F.col("at") <= F.col("k")).groupBy("k").agg(F.sum("m").alias("fully_descoped"))  # points + 1 rows
+    return ks.join(got, "k", "left").select("k", F.bround(100 * F.col("k") / F.greatest("n", F.lit(1)), 1).alias("pct_sources"), F.coalesce("fully_descoped", F.lit(0)).alias("fully_descoped"))
 
 
 def labelled(estate, sets: dict[str, list[str]]) -> DataFrame:
