@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scopeflow.llm import decontaminate, neardup, packing, quality, secrets
 from scopeflow.llm.queries import BYTE_BPE, CAPACITY
 from scopeflow.llm.storage import written
+from scopeflow.plans.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
