@@ -9,9 +9,9 @@ coordinate k (shifted circularly), and the least value over the set is coordinat
 a shingle's values for all coordinates are one contiguous run of pi.
 
 Work follows links, not pairs: equal sets form a class that is represented once; in each bucket of a band, members are compared with
-the bucket's hub, first one hub, then another drawn by hash; pairs of members that are still in different components are then
-compared all, but for those of which one side shares too few shingles with other components for any link. So a large group of copies
-costs as many comparisons as it has members, and no link between components is missed.
+the bucket's hub, first one hub, then another drawn by hash. Members of buckets that still hold several components are then joined on their
+rarest shingles, which finds every link that is left between components. So a large group of copies costs as many comparisons as it has
+members, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -136,18 +136,25 @@ def _sized(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _able(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members that can be linked to another component at all, with ``shared``, the number of their shingles that another component has.
+def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b): pairs of members of different components that may be linked, without bounds on either side.
 
-    A link takes |A & B| >= 3 / 7 * (|A| + |B|), and what A shares with B is shared with another component: so no pair with fewer is lost.
+    Shingles are put in one order: those that only one component has, then the rarest. A link takes |A & B| >= 3 / 7 * (|A| + |B|), so at the first
+    shingle in common, both sides must still have as many before them; that shingle is among the first |A| / 4 + 1 of each. What only
+    one component has is never in common, and a member with too little besides is left out at once. No link is lost.
     """
     ids = members.select(F.col("rep").alias("doc_id"), "component").distinct()
     rows = sets.join(ids, "doc_id").select("doc_id", "component", F.explode("own").alias("shingle"))
-    common = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    shared = rows.join(common, "shingle", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("shared"))
-    able = written(members.join(shared, "rep").where("4 * shared >= 3 * n"), "able")
-    mixed = able.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    return able.join(mixed, "bucket", "left_semi")
+    seen = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    seen = seen.select("shingle", F.when(F.col("low") == F.col("high"), 0).otherwise(F.col("m")).alias("weight"))
+    own = rows.join(seen, "shingle").groupBy("doc_id", "component").agg(F.sort_array(F.collect_set(F.struct("weight", "shingle"))).alias("own"))
+    own = own.where(4 * F.size(F.filter("own", lambda x: x["weight"] > 0)) >= 3 * F.size("own"))
+    first = F.posexplode(F.slice("own", F.lit(1), F.floor(F.size("own") / 4).cast("int") + 1)).alias("pos", "x")
+    first = own.select("doc_id", "component", F.size("own").alias("n"), first).where("x.weight > 0")
+    first = written(first.select("doc_id", "component", "n", (F.col("n") - F.col("pos")).alias("left"), F.col("x.shingle").alias("shingle")), "prefix")
+    one = first.select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    two = first.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    return one.join(two, "shingle").where("c_a < c_b and 7 * least(left_a, left_b) >= 3 * (n_a + n_b)").select("a", "b", "n_a", "n_b")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -180,11 +187,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     if not more.isEmpty():
         found = components(links)
         now = written(labelled(found), "mixed")
-    now = _able(now, sets)
-    one = now.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("shared").alias("s_a"))
-    two = now.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("shared").alias("s_b"))
-    rest = one.join(two, "bucket").where("c_a < c_b and 7 * least(s_a, s_b) >= 3 * (n_a + n_b)")
-    rest = written(_sized(rest).join(first.unionAll(second), ["a", "b"], "left_anti"), "pairs")
+    rest = written(_sized(_rest(now, sets)).join(first.unionAll(second), ["a", "b"], "left_anti"), "pairs")
     more = written(_linked(rest, sets), "links")
     if not more.isEmpty():
         found = components(links.unionAll(more))

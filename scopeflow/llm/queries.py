@@ -109,6 +109,28 @@ select conv_id, participant, cast(part as bigint) as part, count(*) as n_turns,
   string_agg(head || body, chr(10) order by place) as rendered,
   coalesce(string_agg(cast(a as bigint) || ':' || cast(a + length(body) as bigint), ',' order by place) filter (where own), '') as mask
 from y group by all""",
+    "op3_minhash_dedup": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (select x, y from common join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)),
+both_ways as (select x, y from link union select y, x from link),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.y from r join both_ways l on l.x = r.b)
+select doc_id, coalesce(any_value(n), 0) as n_shingles, min(b) as component_id, doc_id = min(b) as kept
+from documents left join n using (doc_id) left join r on r.a = doc_id group by doc_id""",
+    "op10_repeat_removal": """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, base, substring(h, 2 * base + 1, 1098) as h from (select doc_id, h, unnest(range(0, len(h) // 2, 500)) as base from t)),
+w as (select doc_id, base + j as i, substring(h, 2 * j + 1, 100) as s from (select *, unnest(range(0, least(500, greatest(len(h) // 2 - 49, 0)))) as j from p)),
+f as (select s, min(doc_id) as least_id from w group by s having min(doc_id) < max(doc_id)),
+g as (select doc_id, i from w join f using (s) where least_id < doc_id),
+m as (select doc_id, i, sum(case when i <= before + 50 then 0 else 1 end) over (partition by doc_id order by i rows unbounded preceding) as run
+  from (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from g)),
+runs as (select doc_id, min(i) as a, max(i) + 50 as b from m group by doc_id, run),
+kept as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from runs union all select doc_id, max(b), 1000000000000 from runs group by doc_id),
+x as (select t.doc_id, any_value(len(h) // 2) as n, sha256(unhex(coalesce(string_agg(substring(h, 2 * kept.a + 1, 2 * (least(kept.b, len(h) // 2) - kept.a)), '' order by kept.a), any_value(h)))) as digest from t left join kept using (doc_id) group by t.doc_id)
+select x.doc_id, n as n_bytes, cast(coalesce(sum(b - a), 0) as bigint) as n_removed, count(a) as n_spans, digest as kept_sha256 from x left join runs using (doc_id) group by all""",
     "op6_url_filter": f"""
 with u as (select page_id, {_HOST} as host, {_PATH} as path from pages),
 r(r_host, r_path, r_verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
