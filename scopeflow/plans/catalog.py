@@ -188,7 +188,7 @@ _W = """, wt(scenario, w1, w2, w3, w4) as (values ('Base (0.40/0.30/0.20/0.10)',
   ('Reach-heavy', 0.20, 0.55, 0.15, 0.10), ('Betweenness-heavy', 0.20, 0.20, 0.50, 0.10), ('Source-heavy', 0.25, 0.25, 0.20, 0.30)),
 rk as (select scenario, id, row_number() over (partition by scenario order by round_even((w1 * round_even((tier / 4)::double, 4) + w2 * round_even(reach_norm::double, 4) + w3 * round_even(b_norm::double, 4) + w4 * source_flag)::double, 10) desc, id) as rank from f, wt where is_source),
 bs as (select id, rank as base from rk where scenario like 'Base%')"""
-on_estate("weight_sensitivity", st.weight_sensitivity, _W + " select scenario, round_even((1 - 6 * sum((rank - base) * (rank - base)) / (count(*) * (count(*) * count(*) - 1)))::double, 3) as rho, cast(count(*) filter (where rank <= 5 and base <= 5) as bigint) as top5_overlap, string_agg(id, ',' order by rank) filter (where rank <= 5) as top5, count(*) as universe from rk join bs using (id) group by scenario")
+on_estate("weight_sensitivity", st.weight_sensitivity, _W + " select scenario, case when count(*) < 2 then 1.0::double else round_even((1 - 6 * sum((rank - base) * (rank - base)) / (count(*) * (count(*) * count(*) - 1)))::double, 3) end as rho, cast(count(*) filter (where rank <= 5 and base <= 5) as bigint) as top5_overlap, string_agg(id, ',' order by rank) filter (where rank <= 5) as top5, count(*) as universe from rk join bs using (id) group by scenario")
 on_estate("weight_tracked", st.weight_tracked, _W + " select id as system, any_value(base) as base_rank, min(rank) as min_rank, max(rank) as max_rank from rk join bs using (id) where base <= 8 group by id")
 
 # ---- impact and plans ----------------------------------------------------------------------------------------------------------
