@@ -1,37 +1,12 @@
-"""Where written intermediates go: a folder that the driver and all executors share."""
+"""Where written intermediates go, and how many partitions a shuffle has."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from scopeflow.storage import remove, shared_dir, written
 
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``. Only where that is unset (as in tests), below a local temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="scopeflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/scopeflow-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes intermediates through Hadoop's file system, wherever they are."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["parallelism", "remove", "shared_dir", "written"]
 
 
 def parallelism(spark: SparkSession) -> int:
