@@ -4,8 +4,9 @@ For each conversation and each participant p, turns are rendered in order: p's t
 of users named after them, and the loss mask marks p's turns. All is DataFrame expressions; no Python runs on executors.
 
 A conversation may hold a third of all rows, so renderings come in parts of PART turns (an ordinary conversation has one). A turn's
-place is its rank by (turn, role, text) in its conversation. Ranks come from a range partitioning on the whole order and prefix sums over
-partitions, so no task holds a large conversation.
+place is its rank by (turn, role, text) in its conversation. Ranks come from a range partitioning on that order (of text, its first
+HEAD code points) and prefix sums over partitions, so no task holds a large conversation. Partitions are written before they are counted:
+bounds are sampled, and planned twice they would differ.
 
 A null role is the participant "unknown"; a null text renders as empty; rows with a null conv_id belong to one conversation (null); null
 turns come first; repeated rows are rendered as often as they come. Other columns are not read. An empty table gives no rows.
@@ -16,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopeflow.llm.storage import parallelism
+from scopeflow.llm.storage import parallelism, written
 
 PART = 64
+HEAD = 32
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -30,11 +32,10 @@ def _escaped(c: F.Column) -> F.Column:
 def ranked(turns: DataFrame) -> DataFrame:
     """conv_id, place (from 0), role, text: every turn with its rank in its conversation."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ["conv_id", "turn", "role", "text"]
     n = parallelism(turns.sparkSession)
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(n, "conv_id", "turn", "role", "tie").withColumn("slice", F.spark_partition_id())
-    local = dealt.withColumn("k", F.row_number().over(Window.partitionBy("slice", "conv_id").orderBy("turn", "role", "tie", "text")) - 1)
+    dealt = rows.repartitionByRange(n, "conv_id", "turn", "role", F.substring("text", 1, HEAD)).withColumn("slice", F.spark_partition_id())
+    dealt = written(dealt, "turns")
+    local = dealt.withColumn("k", F.row_number().over(Window.partitionBy("slice", "conv_id").orderBy("turn", "role", "text")) - 1)
     sizes = dealt.groupBy("slice", "conv_id").agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("conv_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Only conversations that lie in several slices have turns before a slice.

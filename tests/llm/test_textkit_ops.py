@@ -334,6 +334,22 @@ def test_perspectives(spark):
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_perspectives_beyond_the_range_sample(spark, tmp_path):
+    """More rows than bounds are sampled from, a third of them in one conversation, some equal but for their text."""
+    import duckdb
+
+    r = random.Random(11)
+    rows = [(7 if i % 3 == 0 else 100 + i % 500, i // 6, "abc"[i % 3], f"text {r.randrange(10**6)}") for i in range(30000)]
+    rows += [(i % 5, 0, "a", f"tie {r.randrange(10**6)}") for i in range(300)] + [(None, None, None, None)] * 3
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4).write.parquet(path)
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from read_parquet('{path}/*.parquet')")
+    want = db.execute(llm.ORACLES["op4_chat_perspectives"]).fetchall()
+    got = [tuple(x) for x in chat.rotate_perspectives(spark.read.parquet(path)).collect()]
+    assert Counter(got) == Counter(want)
+
+
 # ---- quality ----
 
 
