@@ -8,7 +8,6 @@ packed. Rows with a null doc_id can't be told apart by it and pass the near-copy
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scopeflow.llm import decontaminate, neardup, packing, quality, secrets
 from scopeflow.llm.queries import BYTE_BPE, CAPACITY
@@ -34,8 +33,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.select("doc_id", "text", "source", packing.text_cluster(F.col("text")).alias("cluster"))
-    return packing.pack_documents(packing.token_lengths(keyed, BYTE_BPE, ["doc_id", "source", "cluster"]), docs.count(), CAPACITY)
+    return packing.pack_documents(packing.clustered_lengths(docs, BYTE_BPE), docs.count(), CAPACITY)
 
 
 STAGES = [

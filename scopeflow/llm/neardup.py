@@ -76,8 +76,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, and its band keys."""
+def sketches(documents: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit key of the set, and its band keys; and the columns ``also`` as they are."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,9 +92,10 @@ def sketches(documents: DataFrame) -> DataFrame:
                     bands.append(band_keys(signature(own)))
                     lengths[i + 1] = BANDS
             cells = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(_signed(np.concatenate(bands))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(_signed(key1)), pa.array(_signed(key2)), cells], ["doc_id", "n_shingles", "key1", "key2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(_signed(key1)), pa.array(_signed(key2)), cells, *(batch.column(c) for c in also)], ["doc_id", "n_shingles", "key1", "key2", "bands", *also])
 
-    return documents.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
+    schema = ", ".join(["doc_id long, n_shingles long, key1 long, key2 long, bands array<long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in also)])
+    return documents.select("doc_id", "text", *(c for c in also if c != "text")).mapInArrow(sketch, schema)
 
 
 def full_sets(documents: DataFrame) -> DataFrame:
@@ -159,7 +160,12 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id)."""
-    docs = written(sketches(documents), "sketches")
+    out = with_components(written(sketches(documents), "sketches"), documents).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def with_components(docs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The (written) sketches of ``documents`` with component_id instead of the bands."""
     classes = docs.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = written(classes.where("rep is not null"), "classes")
 
@@ -194,6 +200,5 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     labels = found.withColumnRenamed("node", "rep")
     classes = classes.select("key1", "key2", "n_shingles", "rep").join(labels, "rep", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = docs.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = docs.drop("bands").join(classes, ["key1", "key2", "n_shingles"], "left")
+    return out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scopeflow.llm import chat, decontaminate, neardup, packing, quality, repeats, secrets, tokens, urls
 
@@ -27,9 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    keyed = documents.select("doc_id", "text", "source", packing.text_cluster(F.col("text")).alias("cluster"))
-    lengths = packing.token_lengths(keyed, BYTE_BPE, ["doc_id", "source", "cluster"])
-    return packing.pack_documents(lengths, documents.count(), CAPACITY)
+    return packing.pack_documents(packing.clustered_lengths(documents, BYTE_BPE), documents.count(), CAPACITY)
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,22 @@ def test_pack_documents_keeps_every_token(spark):
     assert packing.pack_documents(df.limit(0), 0).count() == 0
 
 
+def test_pack_keeps_near_copies_apart(spark):
+    """Copies that differ in case, white space or a few words, of different sources, are one cluster; so are equal texts without an id."""
+    rows = [(i, t, f"s{i}") for i, t in ROWS if i is not None and i < 40]
+    rows += [(None, BASE, "n0"), (None, OTHER + " more", "n1"), (None, OTHER + " more", "n2"), (35, " \n\t", "w"), (None, "no copy of it", "n3"), (None, "no copy of it", "n4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.source): r.cluster for r in packing.clustered_lengths(df, llm.BYTE_BPE).collect()}
+    assert len(got) == len({(i, s) for i, _, s in rows})
+    want = brute_components([(1000 + k, t) for k, (_, t, _) in enumerate(rows)])
+    for k, (i, t, s) in enumerate(rows):
+        for m, (j, u, z) in enumerate(rows[:k]):
+            same = want[1000 + k][1] == want[1000 + m][1] or (t == u and bool(t))
+            if (i, s) != (j, z):
+                assert (got[i, s] is not None and got[i, s] == got[j, z]) == same, (i, s, j, z)
+    assert packing.clustered_lengths(df.limit(0), llm.BYTE_BPE).count() == 0
+
+
 # ---- tokens ----
 
 
