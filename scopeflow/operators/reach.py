@@ -189,10 +189,10 @@ def longest_path(edges: DataFrame) -> int:
     return steps
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, exact_up_to: int = 600, pivots: int = 400, limit: int = LOCAL_EDGES) -> DataFrame:
-    """(id, b): shortest-path betweenness, summed over all starts up to ``exact_up_to`` nodes, else over the ``pivots`` of least hashed id."""
+def betweenness(nodes: DataFrame, edges: DataFrame, exact_up_to: int | None = None, pivots: int = 400, limit: int = LOCAL_EDGES) -> DataFrame:
+    """(id, b): shortest-path betweenness, summed over all starts. If ``exact_up_to`` is given, an estimate beyond that many nodes: over the ``pivots`` of least hashed id."""
     n = nodes.count()
-    starts = nodes.select("id") if n <= exact_up_to else nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(pivots)
+    starts = nodes.select("id") if exact_up_to is None or n <= exact_up_to else nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(pivots)
     if n <= 2:
         return nodes.select("id", F.lit(0.0).alias("b"))
     edges = edges.select("src", "dst").where("src <> dst").distinct()

@@ -60,6 +60,15 @@ def test_betweenness_both_ways(spark, graph):
     assert one == two and max(one.values()) > 0
 
 
+def test_betweenness_counts_all_starts(spark):
+    """Of 701 nodes: 350 give to a hub, which gives to 350."""
+    edges = spark.createDataFrame([(f"a{i}", "hub") for i in range(350)] + [("hub", f"z{i}") for i in range(350)], "src string, dst string")
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    got = {r.id: r.b for r in rc.betweenness(nodes, edges).collect()}
+    assert len(got) == 701 and got.pop("hub") == 350 * 350 and not any(got.values())
+    assert 0 < rc.betweenness(nodes, edges, exact_up_to=600).where("id = 'hub'").first().b < 350 * 350
+
+
 def test_cycle_and_self_loop(spark):
     e = estate(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x")])
     rows = {r.members: (r.size, r.is_cycle) for r in st.dag_nodes(e).collect()}
