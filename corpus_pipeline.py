@@ -1,8 +1,8 @@
 """documents -> packed training rows: five stages, each written as Parquet and read again by the next.
 
 Every stage but the last returns the columns of documents, whatever they are. Quality rules drop documents that fail; of near copies
-one document stays; documents that hold a benchmark item go; secrets are masked in the text of documents, which stay; what is left is
-packed. Rows with a null doc_id can't be told apart by it and pass the near-copy stage. An empty table passes every stage.
+one row stays, whatever the ids are; documents that hold a benchmark item go; secrets are masked in the text of documents, which stay; what is left is
+packed. An empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    return neardup.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

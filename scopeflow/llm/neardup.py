@@ -202,3 +202,18 @@ def with_components(docs: DataFrame, documents: DataFrame) -> DataFrame:
     classes = classes.select("key1", "key2", "n_shingles", "rep").join(labels, "rep", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = docs.drop("bands").join(classes, ["key1", "key2", "n_shingles"], "left")
     return out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
+
+
+def drop_near_copies(documents: DataFrame) -> DataFrame:
+    """One row of each component of near copies, with the columns of ``documents``: of least doc_id (null last), ties by a hash of the row.
+
+    Rows, not ids, are linked here, so repeated rows, rows without an id and two texts of one id are all told apart; rows are numbered in a written
+    table. Rows without words all stay.
+    """
+    rows = written(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    hashed = [c for c, kind in documents.dtypes if "map<" not in kind]
+    ids = rows.select(F.col("__row").alias("doc_id"), "text", F.col("doc_id").alias("own_id"), F.xxhash64(*hashed).alias("tie"))
+    found = with_components(written(sketches(ids, ("own_id", "tie")), "sketches"), ids)
+    first = F.min(F.struct(F.col("own_id").isNull().alias("absent"), "own_id", "tie", F.col("doc_id").alias("row")))
+    kept = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*documents.columns)

@@ -127,3 +127,15 @@ def test_empty_input(spark, stages):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_near_copies_leave_one_row(spark):
+    """Repeated rows, rows without an id and one id with two texts."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, one, "s"), (5, one, "s"), (9, one + " more", "s"), (None, one, "s"), (7, two, "s"), (7, three, "s"), (6, three.upper(), "s")]
+    rows += [(None, "only without an id", "s"), (None, "only without an id", "t"), (8, "", "s"), (8, "", "s"), (None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.minhash_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(5, one), (7, two), (6, three.upper()), (None, "only without an id"), (8, ""), (8, ""), (None, None)]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
