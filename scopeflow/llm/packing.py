@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopeflow.llm import neardup
-from scopeflow.llm import textkit as tk
 from scopeflow.llm.storage import written
 from scopeflow.llm.tokens import encoder_of
 
@@ -104,10 +103,7 @@ def token_lengths(documents: DataFrame, path: str, columns: list[str], length_co
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for batch in batches:
-            for a, b, _, _ in tk.slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                n = [len(encoder.encode(t)) // encoder.width for t in tk.text_column(part.column("text")).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(n, pa.int64())], names=[*columns, length_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(encoder.count(batch.column("text")))], names=[*columns, length_col])
 
     return out.mapInArrow(count, schema)
 

@@ -236,11 +236,11 @@ def train_crf(documents: DataFrame, labels: DataFrame, per_class: int = 400, max
     return fit_crf(features, first, np.repeat([r.quality for r in rows], [r.n_lines for r in rows]))
 
 
-RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
 def judge_quality(documents: DataFrame, crf: Crf, min_share: float = 0.5) -> DataFrame:
-    """One row per document: base counts, base_failed, content_share and kept."""
+    """One row per document: base counts, base_failed, kept and content_share."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +252,8 @@ def judge_quality(documents: DataFrame, crf: Crf, min_share: float = 0.5) -> Dat
                 share = (content[got.lines.first[1:]] - content[got.lines.first[:-1]]) / np.maximum(n, 1)
                 failed = (n < 50) | (100 * got.base["n_repeat_words"] > 50 * n)
                 columns = [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), *(pa.array(got.base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))]
-                columns += [pa.array(failed), pa.array(share), pa.array(~failed & (share >= min_share))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"])
+                columns += [pa.array(failed), pa.array(~failed & (share >= min_share)), pa.array(share)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
 
     return documents.select("doc_id", "text").mapInArrow(judged, RESULT)
 

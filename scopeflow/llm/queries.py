@@ -47,7 +47,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return urls.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

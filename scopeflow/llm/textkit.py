@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_B = 0xA24BAED4963EE407  # odd: the base of the polynomial hash modulo 2**64
-_POWERS: dict[str, np.ndarray] = {}
+#: Longer ranges are hashed one by one by a library.
+LONG = 4096
+#: The first k bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 #: Byte classes. Separators of words; A-Z to a-z.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,18 +37,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i below n at least."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = pow(_B, -1, 1 << 64)
-        for name, base in (("up", _B), ("down", inverse)):
-            table = np.full(size, base, U64)
-            table[0] = 1
-            _POWERS[name] = np.multiply.accumulate(table)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def text_column(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     """The column as one large_string array, null turned into the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,13 +97,27 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, start, end, row, first)
 
 
+def words64(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a little-endian word, zeros beyond the end; one place more than there are bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, the same wherever the range lies. The length takes part."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(0x9E3779B97F4A7C15)) * up[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    return mix64(h + (end - start).astype(U64) * U64(0xD1342543DE82EF95))
+    """A 64-bit hash of each byte range, the same wherever the range lies: a chain of mixed words of 8 bytes, begun with the length."""
+    left = end - start
+    h = mix64(left.astype(U64) * U64(0xD1342543DE82EF95) + U64(0x9E3779B97F4A7C15))
+    words = words64(data)
+    whole = left > LONG
+    which, at, left = slice(None), start, np.where(whole, 0, left)
+    while len(at):
+        h[which] = mix64(h[which] ^ (words[at] & _FIRST[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        which = more if isinstance(which, slice) else which[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(whole).tolist():
+        h[i] = int.from_bytes(blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

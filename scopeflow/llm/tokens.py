@@ -1,14 +1,15 @@
 """Token ids, token counts and the binary file format.
 
 Both public tokenizers merge within pre-tokens only, so a text's ids are those of its pre-tokens in turn. Texts of plain Latin
-letters are split here and each distinct pre-token is merged by the library's model; any other text (a code point from U+0180 on, or
-a special token's string) is given to the library whole. Either way the ids are the library's.
-Null text counts as empty; long texts are encoded whole; repeated rows are encoded alike.
+letters are cut here (``pieces``) and each distinct pre-token is merged by the library's model; any other text (a code point from U+0180
+on, or what may be a special token's string) is given to the library whole. Either way the ids are the library's.
+Null text counts as empty; texts of any length are encoded whole, about SLICE_BYTES of short ones or one long one at a time; repeated
+rows are encoded alike; an empty table gives an empty result, and files without shards. Other columns are not read, whatever their
+names are. Files order rows of one doc_id by a hash of the text, then the text.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -20,16 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scopeflow.llm import pieces
 from scopeflow.llm import textkit as tk
 from scopeflow.llm.storage import parallelism, written
 
-# Code points below U+0180: letters, numbers and white space as the libraries' \p{L}, \p{N} and \s have them.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\x0b\x0c\r \x85\xa0"
-_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Pre-tokens of the byte-level and of the word tokenizer.
-BYTE_PIECES = re.compile(f"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-WORD_PIECES = re.compile(f"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_PLAIN = re.compile("[\x00-ſ]*")
 #: Entries of a generation of a worker's memory of pre-tokens.
 MEMORY = 200_000
 
@@ -77,27 +72,72 @@ def stand_ins(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(_STAND_INS)
 
 
-def _plain(text: str) -> bool:
-    return "<|" not in text and _PLAIN.fullmatch(text) is not None
-
-
 class PieceEncoder:
-    """Ids of texts as little-endian bytes of ``width`` each."""
+    """Ids, or numbers of ids, of the texts of an Arrow column."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.merge = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.known = Memory(self._merged)
-
-    def _merged(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.merge(stand_ins(piece))], self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not _plain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.known.__getitem__, BYTE_PIECES.findall(text)))
+        self.known = Memory(lambda piece: np.array([t.id for t in self.merge(stand_ins(piece))], self.kind))
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids of these rows, number of ids of each) of consecutive rows."""
+        for a, b, data, offsets in tk.slices(column):
+            others, rows, start, end = _cut(data, offsets, True)
+            values, place = pieces.look_up(data, start, end, self.known.__getitem__)
+            sizes = np.array([len(v) for v in values], np.int64)
+            flat = np.concatenate(values) if values else np.zeros(0, self.kind)
+            first = np.cumsum(sizes) - sizes
+            n = np.bincount(rows, sizes[place], minlength=b - a).astype(np.int64) if len(rows) else np.zeros(b - a, np.int64)
+            ids = flat[_ranges(first[place], sizes[place])]
+            if len(others):
+                own = {i: np.array(self.whole(_row(data, offsets, i)), self.kind) for i in others}
+                cuts = np.concatenate([[0], np.cumsum(n)])
+                ids = np.concatenate([own[i] if i in own else ids[cuts[i] : cuts[i + 1]] for i in range(b - a)])
+                for i, x in own.items():
+                    n[i] = len(x)
+            yield a, b, ids, n
+
+    def count(self, column: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        out = [np.zeros(0, np.int64)]
+        for a, b, data, offsets in tk.slices(column):
+            others, rows, start, end = _cut(data, offsets, True)
+            sizes, place = pieces.look_up(data, start, end, lambda piece: len(self.known[piece]))
+            out.append(_sums(rows, sizes, place, b - a))
+            for i in others:
+                out[-1][i] = len(self.whole(_row(data, offsets, i)))
+        return np.concatenate(out)
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, by_bytes: bool) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that are not cut here, row of each piece, start, end)."""
+    plain = pieces.plain_rows(data, offsets)
+    start, end = pieces.cut(data, offsets, by_bytes)
+    rows = np.searchsorted(offsets, start, "right") - 1
+    if not plain.all():
+        keep = plain[rows]
+        rows, start, end = rows[keep], start[keep], end[keep]
+    return np.flatnonzero(~plain).tolist(), rows, start, end
+
+
+def _row(data: np.ndarray, offsets: np.ndarray, i: int) -> str:
+    return data[offsets[i] : offsets[i + 1]].tobytes().decode()
+
+
+def _sums(rows: np.ndarray, sizes: list[int], place: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(rows, np.array(sizes, np.int64)[place], minlength=n).astype(np.int64) if len(rows) else np.zeros(n, np.int64)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after another."""
+    total = np.cumsum(size)
+    return np.repeat(start - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -119,7 +159,9 @@ def whole_tokens(path: str) -> frozenset[str]:
                 text = bytes(alphabet[c] for c in entry[:-4]).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if _plain(text) and WORD_PIECES.fullmatch(text) and text == text.lower():
+            raw = np.frombuffer(text.encode(), np.uint8)
+            others, _, start, _ = _cut(raw, np.array([0, len(raw)]), False)
+            if not others and len(start) == 1 and text.strip() == text == text.lower():
                 surfaces.append(text)
     return frozenset(t for t, got in zip(surfaces, tokenizer.encode_batch_fast(surfaces, add_special_tokens=False)) if len(got.ids) == 1)
 
@@ -130,13 +172,23 @@ class WordCounter:
     def __init__(self, path: str, whole: frozenset[str]):
         self.tokenizer = load(path)
         self.merge = self.tokenizer.model.tokenize
-        self.whole = dict.fromkeys(whole, 1)
-        self.known = Memory(lambda piece: self.whole.get(piece) or len(self.merge(stand_ins(piece))))
+        self.single = dict.fromkeys(whole, 1)
+        self.merged = Memory(lambda piece: len(self.merge(stand_ins(piece))))
+
+    def piece(self, piece: str) -> int:
+        return self.single.get(piece) or self.merged[piece]
 
-    def count(self, text: str) -> int:
-        if not _plain(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.known.__getitem__, WORD_PIECES.findall(text.lower())))
+    def count(self, column: pa.Array) -> np.ndarray:
+        texts = tk.text_column(column)
+        low = pa.array([t.lower() for t in texts.to_pylist()], pa.large_string())
+        out = [np.zeros(0, np.int64)]
+        for a, b, data, offsets in tk.slices(low):
+            others, rows, start, end = _cut(data, offsets, False)
+            sizes, place = pieces.look_up(data, start, end, self.piece)
+            out.append(_sums(rows, sizes, place, b - a))
+            for i in others:
+                out[-1][i] = len(self.tokenizer.encode(texts[a + i].as_py(), add_special_tokens=False).ids)
+        return np.concatenate(out)
 
 
 @lru_cache(maxsize=2)
@@ -153,7 +205,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int) -> DataFrame:
         for batch in batches:
             for a, b, _, offsets in tk.slices(batch.column("text")):
                 part = batch.slice(a, b - a)
-                n = np.array([counter.count(t) for t in tk.text_column(part.column("text")).to_pylist()], np.int64)
+                n = counter.count(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return documents.select("doc_id", "text").mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
@@ -161,12 +213,13 @@ def count_tokens(documents: DataFrame, path: str, limit: int) -> DataFrame:
 
 # ---- Elias-Fano boundaries and the shard format --------------------------------------------------------------------------------
 
-SAMPLE = 64  # every so many documents, the place of its bit is stored
+SAMPLE = 64  # every so many items, the place of its bit is stored
+_ONES = bytes(i.bit_count() for i in range(256))
 
 
 @dataclass
 class EliasFano:
-    """A non-decreasing sequence in about 2 + log2(universe / n) bits an item; ``select`` reads one item from a few words."""
+    """A non-decreasing sequence below 2**64 in about 2 + log2(universe / n) bits an item; ``select`` reads one item from a few words."""
 
     n: int
     low_bits: int
@@ -178,69 +231,83 @@ class EliasFano:
     def encode(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         low_bits = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
-        v = values.astype(np.int64)
-        low = np.packbits(((v[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
-        places = (v >> low_bits) + np.arange(n)
+        v = values.astype(np.uint64)
+        low = np.packbits(((v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+        places = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
         bits[places] = 1
         return cls(n, low_bits, low, np.packbits(bits, bitorder="little").tobytes(), places[::SAMPLE].astype("<u4"))
 
     def _low(self, i: int) -> int:
-        at, out = i * self.low_bits, 0
-        for k in range(self.low_bits):
-            out |= (self.low[(at + k) >> 3] >> ((at + k) & 7) & 1) << k
-        return out
+        at = i * self.low_bits
+        return int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3], "little") >> (at & 7) & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
+        """Item ``i``: from the sample before it, whole bytes of set bits are passed over, then bits."""
         place, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        while left:
-            place += 1
-            left -= self.high[place >> 3] >> (place & 7) & 1
+        at = place >> 3
+        byte = self.high[at] >> (place & 7) << (place & 7)
+        while left >= _ONES[byte]:
+            left -= _ONES[byte]
+            at += 1
+            byte = self.high[at]
+        for _ in range(left):
+            byte &= byte - 1
+        place = at * 8 + (byte & -byte).bit_length() - 1
         return (place - i) << self.low_bits | self._low(i)
 
-    def decode(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        high = (places - np.arange(self.n)) << self.low_bits
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high + bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+    def sections(self) -> tuple[bytes, bytes, bytes]:
+        return self.low, self.high, self.samples.tobytes()
 
+    @classmethod
+    def from_sections(cls, n: int, low_bits: int, blob: bytes, at: int, sizes: tuple[int, int, int]) -> EliasFano:
+        ends = np.cumsum((at, *sizes)).tolist()
+        return cls(n, low_bits, blob[ends[0] : ends[1]], blob[ends[1] : ends[2]], np.frombuffer(blob, "<u4", sizes[2] // 4, ends[2]))
 
-_HEAD = struct.Struct("<4sBBHQQQQQI")
+
+_HEAD = struct.Struct("<4sBBBBQQQq6QI")
 _MAGIC = b"SFTK"
 
 
 @dataclass
 class Shard:
-    """Documents in order: their ids, the offsets of their tokens (n + 1 of them) and all tokens in one array."""
+    """Documents in ascending order of doc_id, those without one first: the offsets of their tokens (one more than documents), and all
+    tokens in one array. Document ids are a sorted sequence too, kept as their distances from the least."""
 
-    doc_ids: pa.Array
+    n_null: int
+    base: int
+    own: EliasFano
     bounds: EliasFano
     ids: np.ndarray
 
+    @classmethod
+    def of(cls, doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> Shard:
+        named = [i for i in doc_ids if i is not None]
+        base = named[0] if named else 0
+        return cls(len(doc_ids) - len(named), base, EliasFano.encode(np.array([i - base for i in named], np.uint64)), EliasFano.encode(np.concatenate([[0], np.cumsum(sizes)])), ids)
+
+    def __len__(self) -> int:
+        return self.bounds.n - 1
+
     def to_bytes(self) -> bytes:
-        """Head (magic, version, id width, low bits, numbers of documents and tokens, lengths of the sections, crc of the rest), then
-        document ids (8 bytes each), their nulls (1 byte each), low bits, high bits, select samples, tokens."""
-        nulls = np.asarray(self.doc_ids.is_null()).astype(np.uint8).tobytes()
-        own = np.asarray(self.doc_ids.fill_null(0)).astype("<i8").tobytes()
-        body = b"".join((own, nulls, self.bounds.low, self.bounds.high, self.bounds.samples.tobytes(), self.ids.tobytes()))
-        head = _HEAD.pack(_MAGIC, 1, self.ids.dtype.itemsize, self.bounds.low_bits, len(self.doc_ids), len(self.ids), len(self.bounds.low), len(self.bounds.high), len(self.bounds.samples), zlib.crc32(body))
-        return head + body
+        """Head (magic, version, id width, low bits of both sequences, numbers of documents, of those without id, and of tokens, least id, lengths of
+        the sections, crc of the rest), then both sequences (low bits, high bits, select samples), then the tokens."""
+        sections = (*self.own.sections(), *self.bounds.sections())
+        body = b"".join((*sections, self.ids.tobytes()))
+        return _HEAD.pack(_MAGIC, 2, self.ids.dtype.itemsize, self.own.low_bits, self.bounds.low_bits, len(self), self.n_null, len(self.ids), self.base, *map(len, sections), zlib.crc32(body)) + body
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> Shard:
-        magic, version, width, low_bits, n, n_ids, n_low, n_high, n_samples, crc = _HEAD.unpack_from(blob)
+        magic, version, width, own_bits, low_bits, n, n_null, n_ids, base, *sizes, crc = _HEAD.unpack_from(blob)
         at = _HEAD.size
-        if magic != _MAGIC or version != 1 or zlib.crc32(memoryview(blob)[at:]) != crc:
+        if magic != _MAGIC or version != 2 or zlib.crc32(memoryview(blob)[at:]) != crc:
             raise ValueError("not a token shard, or a damaged one")
-        own = np.frombuffer(blob, "<i8", n, at)
-        nulls = np.frombuffer(blob, np.uint8, n, at + 8 * n).astype(bool)
-        at += 9 * n
-        low, high = blob[at : at + n_low], blob[at + n_low : at + n_low + n_high]
-        at += n_low + n_high
-        samples = np.frombuffer(blob, "<u4", n_samples, at)
-        return cls(pa.array(own, pa.int64(), mask=nulls), EliasFano(n + 1, low_bits, low, high, samples), np.frombuffer(blob, f"<u{width}", n_ids, at + 4 * n_samples))
+        own = EliasFano.from_sections(n - n_null, own_bits, blob, at, tuple(sizes[:3]))
+        bounds = EliasFano.from_sections(n + 1, low_bits, blob, at + sum(sizes[:3]), tuple(sizes[3:]))
+        return cls(n_null, base, own, bounds, np.frombuffer(blob, f"<u{width}", n_ids, at + sum(sizes)))
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else self.base + self.own.select(i - self.n_null)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
@@ -262,24 +329,32 @@ def write_tokens(documents: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         from pyspark import TaskContext
 
         encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         own: list = []
-        size = 0
-        end = np.array([end_id], f"<u{encoder.width}").tobytes()
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            sizes = np.array([len(x) // encoder.width for x in ids], np.int64)
-            shard = Shard(pa.array(own, pa.int64()), EliasFano.encode(np.concatenate([[0], np.cumsum(sizes)])), np.frombuffer(b"".join(ids), f"<u{encoder.width}"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([shard.to_bytes()], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "shard"])
+            shard = Shard.of(own, np.concatenate(sizes), np.concatenate(ids))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([len(shard.ids)], pa.int64()), pa.array([shard.to_bytes()], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "shard"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids.append(encoder.encode(text.as_py()) + end)
-                own.append(doc_id)
-                size += len(ids[-1]) // encoder.width
-                if size >= SHARD_TOKENS:
-                    yield flush()
-                    ids, own, size, seq = [], [], 0, seq + 1
+            names = batch.column("doc_id").to_pylist()
+            for a, b, got, n in encoder.encode(batch.column("text")):
+                got = np.insert(got, np.cumsum(n), np.array(end_id, got.dtype))
+                ends = np.cumsum(n + 1)
+                at = 0
+                while at < b - a:
+                    done = int(ends[at - 1]) if at else 0
+                    stop = min(b - a, int(np.searchsorted(ends, done + SHARD_TOKENS - held)) + 1)
+                    ids.append(got[done : ends[stop - 1]])
+                    sizes.append(n[at:stop] + 1)
+                    own += names[a + at : a + stop]
+                    held += len(ids[-1])
+                    at = stop
+                    if held >= SHARD_TOKENS:
+                        yield flush()
+                        ids, sizes, own, held, seq = [], [], [], 0, seq + 1
         if own:
             yield flush()
 
@@ -299,11 +374,12 @@ def read_tokens(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seq, blob in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("shard")):
                 shard = Shard.from_bytes(blob.as_py())
-                bounds = shard.bounds.decode()
+                n = len(shard)
+                bounds = np.array([shard.bounds.select(i) for i in range(n + 1)], np.int64)
                 ids = shard.ids.astype("<u4")
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                n = len(crcs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), shard.doc_ids, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
+                own = pa.array([shard.doc_id(i) for i in range(n)], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), own, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
     rows = shards.select("part", "seq", "shard").mapInArrow(read, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")

@@ -17,6 +17,7 @@ from scopeflow.llm import chat, decontaminate, neardup, packing, quality, repeat
 from scopeflow.llm import queries as llm
 from scopeflow.llm import textkit as tk
 
+SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, host string, bucket long"
@@ -70,6 +71,18 @@ def collected(df, *names):
 # ---- primitives ----
 
 
+def test_range_hashes_tell_thue_morse_strings_apart():
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((a + b + a + "x" * 5000 + a[:7] + "x" * 5000 + "y" * 5000).encode(), np.uint8)
+    start = np.array([0, 2048, 4096, 6144, 11144, 11151, 16151, 5, 5])
+    end = np.array([2048, 4096, 6144, 11144, 11151, 16151, 21151, 5, 13])
+    h = tk.range_hashes(data, start, end).tolist()
+    assert h[0] == h[2] != h[1] and h[3] == h[5] != h[6] and len(set(h)) == 7
+
+
 @settings(max_examples=200, deadline=None)
 @given(hs.lists(hs.text(alphabet="ab \n\té\x85", max_size=30), max_size=8))
 def test_words_of_equals_the_pattern(texts):
@@ -104,7 +117,6 @@ def test_quality_base_counts(texts):
 def test_elias_fano_round_trip(steps):
     values = np.concatenate([[0], np.cumsum(steps)])
     ef = tokens.EliasFano.encode(values)
-    assert ef.decode().tolist() == values.tolist()
     assert [ef.select(i) for i in range(len(values))] == values.tolist()
     assert 8 * (len(ef.low) + len(ef.high)) <= len(values) * (3 + max(0, np.log2(max(1, values[-1] / len(values))))) + 64
 
@@ -253,9 +265,31 @@ BYTES, WORDS = tokens.load(llm.BYTE_BPE), tokens.load(llm.WORD_BPE)
 
 @pytest.mark.parametrize("text", ODD)
 def test_encoders_equal_the_library(text):
+    check_encoders([text, "it's", text, "x"])
+
+
+def check_encoders(texts):
+    """Ids and counts of a column against the library's, text by text."""
+    column = pa.array(texts, pa.large_string())
+    want = [BYTES.encode(t, add_special_tokens=False).ids for t in texts]
     own = tokens.encoder_of(llm.BYTE_BPE)
-    assert np.frombuffer(own.encode(text), "<u2").tolist() == BYTES.encode(text, add_special_tokens=False).ids
-    assert tokens.counter_of(llm.WORD_BPE, WHOLE).count(text) == len(WORDS.encode(text, add_special_tokens=False).ids)
+    got = [(ids.tolist(), n.tolist()) for _, _, ids, n in own.encode(column)]
+    assert sum((ids for ids, _ in got), []) == sum(want, [])
+    assert sum((n for _, n in got), []) == own.count(column).tolist() == [len(w) for w in want]
+    assert tokens.counter_of(llm.WORD_BPE, WHOLE).count(column).tolist() == [len(WORDS.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_whole_table_equals_the_library(spark):
+    """Queries 2 and 7 on the whole of documents."""
+    table = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {i: [*BYTES.encode(t, add_special_tokens=False).ids, 0] for i, t in table.items()}
+    at, want = 0, []
+    for i in sorted(ids):
+        want.append((i, at, len(ids[i]), zlib.crc32(struct.pack(f"<{len(ids[i])}I", *ids[i]))))
+        at += len(ids[i])
+    assert sorted(map(tuple, llm.op2_token_binary(spark, SF).collect())) == want
+    counts = [(i, len(t.encode()), n := len(WORDS.encode(t, add_special_tokens=False).ids), n > 2048) for i, t in sorted(table.items())]
+    assert sorted(map(tuple, llm.op7_token_counts(spark, SF).collect())) == counts
 
 
 @settings(max_examples=150, deadline=None)
@@ -272,8 +306,7 @@ def test_white_space_equals_the_library(text):
 
 def test_count_tokens(docs):
     got = collected(tokens.count_tokens(docs, llm.WORD_BPE, 2048), "doc_id", "n_bytes", "n_tokens", "over_limit")
-    counter = tokens.counter_of(llm.WORD_BPE, WHOLE)
-    want = [(i, len((t or "").encode()), n := counter.count(t or ""), n > 2048) for i, t in ROWS]
+    want = [(i, len((t or "").encode()), n := len(WORDS.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in ROWS]
     assert got == sorted(want, key=repr)
 
 
