@@ -74,24 +74,25 @@ def cut(data: np.ndarray, offsets: np.ndarray, by_bytes: bool) -> tuple[np.ndarr
     return start, end
 
 
-def look_up(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: Callable[[str], object]) -> tuple[list, np.ndarray]:
+def look_up(data: np.ndarray, start: np.ndarray, end: np.ndarray, values_of: Callable[[list[bytes]], list]) -> tuple[list, np.ndarray]:
     """(values, place): the value of each distinct piece, and for each piece the place of its value."""
     raw = data.tobytes()
     size = end - start
     words = tk.words64(data)
     place = np.empty(len(start), np.int64)
-    values: list = []
+    found: list[bytes] = []
 
     def distinct(which: np.ndarray, key: np.ndarray) -> np.ndarray:
         codes, _ = pd.factorize(key)
         first = np.zeros(int(codes.max()) + 1 if len(codes) else 0, np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        place[which] = codes + len(values)
-        values.extend(value(raw[a:b].decode()) for a, b in zip(start[which[first]].tolist(), end[which[first]].tolist()))
+        place[which] = codes + len(found)
+        found.extend(raw[a:b] for a, b in zip(start[which[first]].tolist(), end[which[first]].tolist()))
         return first[codes]
 
     short = np.flatnonzero(size <= _SHORT)  # the key is the piece itself
-    distinct(short, (words[start[short]] & ((np.uint64(1) << (size[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1))) | (size[short].astype(np.uint64) << np.uint64(56)))
+    bits = size[short].astype(np.uint64) * np.uint64(8)
+    distinct(short, (words[start[short]] & ((np.uint64(1) << bits) - np.uint64(1))) | (bits << np.uint64(53)))
     middle = np.flatnonzero((size > _SHORT) & (size <= _MIDDLE))
     a, b = words[start[middle]], words[end[middle] - 8]
     same = distinct(middle, tk.mix64(a ^ tk.mix64(b + size[middle].astype(np.uint64))))
@@ -100,7 +101,7 @@ def look_up(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: Callabl
     for i in [*np.flatnonzero(size > _MIDDLE).tolist(), *middle[wrong].tolist()]:
         piece = raw[start[i] : end[i]]
         if piece not in known:
-            known[piece] = len(values)
-            values.append(value(piece.decode()))
+            known[piece] = len(found)
+            found.append(piece)
         place[i] = known[piece]
-    return values, place
+    return values_of(found), place

@@ -26,26 +26,29 @@ from scopeflow.llm import textkit as tk
 from scopeflow.llm.storage import parallelism, written
 
 #: Entries of a generation of a worker's memory of pre-tokens.
-MEMORY = 200_000
+MEMORY = 400_000
 
 
 class Memory(dict):
     """Values that ``find`` gives for keys, kept while they were used in this generation or the one before: so frequent ones stay, and no more
-    than 2 * MEMORY are held."""
+    than 2 * MEMORY are held, and what one batch adds."""
 
-    def __init__(self, find: Callable[[str], object], given: dict | None = None):
+    def __init__(self, find: Callable[[bytes], object]):
         super().__init__()
-        self.find, self.before = find, given or {}
+        self.find, self.before = find, {}
 
-    def __missing__(self, key: str):
-        value = self.before.get(key)
-        if value is None:
-            value = self.find(key)
+    def many(self, keys: list[bytes]) -> list:
         if len(self) >= MEMORY:
             self.before = dict(self)
             self.clear()
-        self[key] = value
-        return value
+        out = list(map(self.get, keys))
+        find, before = self.find, self.before.get
+        for i, value in enumerate(out):
+            if value is None:
+                key = keys[i]
+                value = before(key)
+                out[i] = self[key] = find(key) if value is None else value
+        return out
 
 
 def load(path: str):
@@ -67,9 +70,9 @@ def byte_alphabet() -> dict[str, int]:
 _STAND_INS = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
 
 
-def stand_ins(piece: str) -> str:
+def stand_ins(piece: bytes) -> str:
     """A pre-token as the vocabulary writes it."""
-    return piece.encode().decode("latin-1").translate(_STAND_INS)
+    return piece.decode("latin-1").translate(_STAND_INS)
 
 
 class PieceEncoder:
@@ -81,6 +84,7 @@ class PieceEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.known = Memory(lambda piece: np.array([t.id for t in self.merge(stand_ins(piece))], self.kind))
+        self.counts = Memory(lambda piece: len(self.merge(stand_ins(piece))))
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -89,7 +93,7 @@ class PieceEncoder:
         """(first row, end row, ids of these rows, number of ids of each) of consecutive rows."""
         for a, b, data, offsets in tk.slices(column):
             others, rows, start, end = _cut(data, offsets, True)
-            values, place = pieces.look_up(data, start, end, self.known.__getitem__)
+            values, place = pieces.look_up(data, start, end, self.known.many)
             sizes = np.array([len(v) for v in values], np.int64)
             flat = np.concatenate(values) if values else np.zeros(0, self.kind)
             first = np.cumsum(sizes) - sizes
@@ -108,7 +112,7 @@ class PieceEncoder:
         out = [np.zeros(0, np.int64)]
         for a, b, data, offsets in tk.slices(column):
             others, rows, start, end = _cut(data, offsets, True)
-            sizes, place = pieces.look_up(data, start, end, lambda piece: len(self.known[piece]))
+            sizes, place = pieces.look_up(data, start, end, self.counts.many)
             out.append(_sums(rows, sizes, place, b - a))
             for i in others:
                 out[-1][i] = len(self.whole(_row(data, offsets, i)))
@@ -159,11 +163,13 @@ def whole_tokens(path: str) -> frozenset[str]:
                 text = bytes(alphabet[c] for c in entry[:-4]).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            raw = np.frombuffer(text.encode(), np.uint8)
-            others, _, start, _ = _cut(raw, np.array([0, len(raw)]), False)
-            if not others and len(start) == 1 and text.strip() == text == text.lower():
+            if text and text == text.lower():
                 surfaces.append(text)
-    return frozenset(t for t, got in zip(surfaces, tokenizer.encode_batch_fast(surfaces, add_special_tokens=False)) if len(got.ids) == 1)
+    alone = []
+    for a, b, data, offsets in tk.slices(pa.array(surfaces, pa.large_string())):
+        _, rows, start, end = _cut(data, offsets, False)
+        alone += [surfaces[a + i] for i in rows[(start == offsets[rows]) & (end == offsets[rows + 1])].tolist()]
+    return frozenset(t for t, got in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False)) if len(got.ids) == 1)
 
 
 class WordCounter:
@@ -172,11 +178,8 @@ class WordCounter:
     def __init__(self, path: str, whole: frozenset[str]):
         self.tokenizer = load(path)
         self.merge = self.tokenizer.model.tokenize
-        self.single = dict.fromkeys(whole, 1)
-        self.merged = Memory(lambda piece: len(self.merge(stand_ins(piece))))
-
-    def piece(self, piece: str) -> int:
-        return self.single.get(piece) or self.merged[piece]
+        self.single = {piece.encode() for piece in whole}
+        self.known = Memory(lambda piece: 1 if piece in self.single else len(self.merge(stand_ins(piece))))
 
     def count(self, column: pa.Array) -> np.ndarray:
         texts = tk.text_column(column)
@@ -184,7 +187,7 @@ class WordCounter:
         out = [np.zeros(0, np.int64)]
         for a, b, data, offsets in tk.slices(low):
             others, rows, start, end = _cut(data, offsets, False)
-            sizes, place = pieces.look_up(data, start, end, self.piece)
+            sizes, place = pieces.look_up(data, start, end, self.known.many)
             out.append(_sums(rows, sizes, place, b - a))
             for i in others:
                 out[-1][i] = len(self.tokenizer.encode(texts[a + i].as_py(), add_special_tokens=False).ids)
