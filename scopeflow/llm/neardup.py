@@ -2,7 +2,9 @@
 
 Documents are sets of distinct five-word shingles (lower-cased A-Z); two are linked if 100 * |A & B| >= 75 * |A | B|. A document of
 fewer words is its whole sequence; without words it has no set and no links. Null text counts as empty. Rows of one doc_id are one
-document: they share its links, and stay or go together. Rows with a null doc_id belong to the class of their set.
+document: whatever their texts, they share all their links and one component. Rows with a null doc_id belong to the component of their
+set; they link nothing. Texts are taken whole, a long one by itself; ties go to the least doc_id. An empty table gives an empty result.
+Only doc_id and text are read, so other columns may have any names; ``drop_near_copies`` returns them all.
 
 Signatures: one permutation sigma scatters shingles over a universe of D places, a second one, pi, is read at place sigma(x) + k for
 coordinate k (shifted circularly), and the least value over the set is coordinate k. Since sigma(x), sigma(x) + 1, ... are adjacent,
@@ -11,7 +13,7 @@ a shingle's values for all coordinates are one contiguous run of pi.
 Work follows links, not pairs: equal sets form a class that is represented once; in each bucket of a band, members are compared with
 the bucket's hub, first one hub, then another drawn by hash. Members of buckets that still hold several components are then joined on their
 rarest shingles, which finds every link that is left between components. So a large group of copies costs as many comparisons as it has
-members, and no link between components is missed.
+members, and no link between components is missed. Buckets that hold more than a share of all rows are split by a salt.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from pyspark.sql import functions as F
 
 from scopeflow.llm import textkit as tk
 from scopeflow.llm.graph import components
-from scopeflow.llm.storage import written
+from scopeflow.llm.storage import kept, scratch, unused, written
 
 SHINGLE = 5
 #: At a similarity of 0.75, a band of 5 agrees with chance 0.237; that none of 48 does, 2.3e-6.
 BANDS, BAND_ROWS = 48, 5
 UNIVERSE = 1 << 22
+#: Rows of a bucket beyond which it is split, and the most buckets that are.
+HOT, HOT_BUCKETS = 256, 100_000
 _PI: dict[int, np.ndarray] = {}
 
 
@@ -141,58 +145,96 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b): pairs of members of different components that may be linked, without bounds on either side.
 
     Shingles are put in one order: those that only one component has, then the rarest. A link takes |A & B| >= 3 / 7 * (|A| + |B|), so at the first
-    shingle in common, both sides must still have as many before them; that shingle is among the first |A| / 4 + 1 of each. What only
-    one component has is never in common, and a member with too little besides is left out at once. No link is lost.
+    shingle in common, both sides must still have as many before them; that shingle is among the first |A| / 7 + 1 of the smaller set and the first
+    |B| / 4 + 1 of the larger. What only one component has is never in common, and a member with too little besides is left out at
+    once. Members that share a template of less than 6 / 7 of each, however many, meet on nothing. No link is lost.
     """
     ids = members.select(F.col("rep").alias("doc_id"), "component").distinct()
-    rows = sets.join(ids, "doc_id").select("doc_id", "component", F.explode("own").alias("shingle"))
+    rows = sets.join(ids, "doc_id").select("doc_id", "component", F.size("own").alias("n"), F.explode("own").alias("shingle"))
     seen = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
     seen = seen.select("shingle", F.when(F.col("low") == F.col("high"), 0).otherwise(F.col("m")).alias("weight"))
-    own = rows.join(seen, "shingle").groupBy("doc_id", "component").agg(F.sort_array(F.collect_set(F.struct("weight", "shingle"))).alias("own"))
+    own = rows.join(seen, "shingle").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_set(F.struct("weight", "shingle"))).alias("own"))
     own = own.where(4 * F.size(F.filter("own", lambda x: x["weight"] > 0)) >= 3 * F.size("own"))
     first = F.posexplode(F.slice("own", F.lit(1), F.floor(F.size("own") / 4).cast("int") + 1)).alias("pos", "x")
     first = own.select("doc_id", "component", F.size("own").alias("n"), first).where("x.weight > 0")
-    first = written(first.select("doc_id", "component", "n", (F.col("n") - F.col("pos")).alias("left"), F.col("x.shingle").alias("shingle")), "prefix")
-    one = first.select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
-    two = first.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
-    return one.join(two, "shingle").where("c_a < c_b and 7 * least(left_a, left_b) >= 3 * (n_a + n_b)").select("a", "b", "n_a", "n_b")
+    first = written(first.select("doc_id", "component", "n", "pos", F.col("x.shingle").alias("shingle")), "prefix")
+    one = first.where("7 * pos <= n").select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), (F.col("n") - F.col("pos")).alias("left_a"))
+    two = first.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), (F.col("n") - F.col("pos")).alias("left_b"))
+    return one.join(two, "shingle").where("c_a <> c_b and n_a <= n_b and 7 * least(left_a, left_b) >= 3 * (n_a + n_b)").select("a", "b", "n_a", "n_b")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id)."""
-    out = with_components(written(sketches(documents), "sketches"), documents).select("doc_id", "n_shingles", "component_id")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    with scratch(documents.sparkSession):
+        out = with_components(written(sketches(documents), "sketches"), documents).select("doc_id", "n_shingles", "component_id")
+        return kept(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "near_duplicates")
+
+
+def _split(rows: DataFrame, n_rows: int) -> DataFrame:
+    """(bucket, salt, rep, n, hub, salts) of the ``rows`` (bucket, rep, n) in buckets of several: the hub is the bucket's least.
+
+    Buckets of more than HOT rows, and of more than their share of all, are dealt out by a salt; of those there are at most HOT_BUCKETS, which is
+    what is broadcast.
+    """
+    hot_at = max(HOT, n_rows // HOT_BUCKETS)
+    buckets = rows.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    buckets = written(buckets.select("bucket", "hub", F.ceil(F.col("m") / hot_at).cast("int").alias("salts")), "buckets")
+    hot = F.broadcast(buckets.where("salts > 1").select("bucket", F.col("salts").alias("many")))
+    salt = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("many")), F.lit(0)).cast("int")
+    dealt = rows.join(hot, "bucket", "left").select("bucket", salt.alias("salt"), "rep", "n")
+    return dealt.join(_for_salts(buckets), ["bucket", "salt"])
+
+
+def _for_salts(buckets: DataFrame) -> DataFrame:
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+
+def _of_one_document(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids of several rows, links between the classes of texts that share an id)."""
+    key = F.struct("key1", "key2", "n_shingles")
+    key = F.when(F.col("n_shingles") > 0, key)
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m"), F.min(key).alias("low"), F.max(key).alias("high"))
+    ids = written(ids.where("m > 1"), "repeated")
+    several = docs.where("n_shingles > 0").join(ids.where("low <> high").select("doc_id"), "doc_id", "left_semi").select("doc_id", "key1", "key2", "n_shingles").distinct()
+    several = several.join(classes.select("key1", "key2", "n_shingles", "rep"), ["key1", "key2", "n_shingles"])
+    return ids.select("doc_id"), several.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
 
 
 def with_components(docs: DataFrame, documents: DataFrame) -> DataFrame:
     """The (written) sketches of ``documents`` with component_id instead of the bands."""
     classes = docs.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = written(classes.where("rep is not null"), "classes")
+    repeated, same = _of_one_document(docs, classes)
 
     rows = classes.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("n"))
-    buckets = rows.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
-    members = written(rows.join(buckets, "bucket"), "members")
-    sets = written(full_sets(documents.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "sets")
+    members = written(_split(rows, BANDS * classes.count()), "members")
+    texts = documents.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    if repeated.isEmpty():
+        sets = full_sets(texts)
+    else:  # a node that has several texts has several sets, each once
+        again = full_sets(texts.join(repeated, "doc_id", "left_semi"))
+        sets = full_sets(texts.join(repeated, "doc_id", "left_anti")).unionAll(again.withColumn("key", F.xxhash64("own")).dropDuplicates(["doc_id", "key"]).drop("key"))
+    sets = written(sets, "sets")
 
     first = written(_sized(members.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))), "pairs")
-    links = written(_linked(first, sets), "links")
+    links = written(_linked(first, sets).unionAll(same), "links")
     found = components(links)
 
-    def labelled(labels: DataFrame) -> DataFrame:
-        """Members of the buckets that hold more than one component, with theirs."""
-        own = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        return own.join(mixed, "bucket", "left_semi")
+    def mixed(labels: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component, with theirs and another hub, drawn by hash."""
+        own = members.select("bucket", "salt", "salts", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        own = written(own, "labelled")
+        hubs = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("salts").alias("salts"), F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep", "n", "component")).alias("hub"))
+        return own.drop("salts").join(_for_salts(hubs.where("low <> high")).select("bucket", "salt", "hub"), ["bucket", "salt"])
 
-    now = written(labelled(found), "mixed")
-    hubs = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep", "n", "component")).alias("hub"))
-    second = now.join(hubs, "bucket").where("component <> hub.component").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))
+    now = written(mixed(found), "mixed")
+    second = now.where("component <> hub.component").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))
     second = written(_sized(second).join(first, ["a", "b"], "left_anti"), "pairs")
     more = written(_linked(second, sets), "links")
     links = links.unionAll(more)
     if not more.isEmpty():
         found = components(links)
-        now = written(labelled(found), "mixed")
+        now = written(mixed(found), "mixed")
     rest = written(_sized(_rest(now, sets)).join(first.unionAll(second), ["a", "b"], "left_anti"), "pairs")
     more = written(_linked(rest, sets), "links")
     if not more.isEmpty():
@@ -201,7 +243,11 @@ def with_components(docs: DataFrame, documents: DataFrame) -> DataFrame:
     labels = found.withColumnRenamed("node", "rep")
     classes = classes.select("key1", "key2", "n_shingles", "rep").join(labels, "rep", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = docs.drop("bands").join(classes, ["key1", "key2", "n_shingles"], "left")
-    return out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
+    out = out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
+    if repeated.isEmpty():
+        return out
+    least = out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+    return out.join(least, "doc_id", "left").withColumn("component_id", F.coalesce("least", "component_id")).drop("least")
 
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
@@ -210,10 +256,12 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
     Rows, not ids, are linked here, so repeated rows, rows without an id and two texts of one id are all told apart; rows are numbered in a written
     table. Rows without words all stay.
     """
-    rows = written(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    spark, row = documents.sparkSession, unused(documents.columns, "row")
+    rows = written(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
     hashed = [c for c, kind in documents.dtypes if "map<" not in kind]
-    ids = rows.select(F.col("__row").alias("doc_id"), "text", F.col("doc_id").alias("own_id"), F.xxhash64(*hashed).alias("tie"))
-    found = with_components(written(sketches(ids, ("own_id", "tie")), "sketches"), ids)
-    first = F.min(F.struct(F.col("own_id").isNull().alias("absent"), "own_id", "tie", F.col("doc_id").alias("row")))
-    kept = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*documents.columns)
+    with scratch(spark):
+        ids = rows.select(F.col(row).alias("doc_id"), "text", F.col("doc_id").alias("own_id"), F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias("tie"))
+        found = with_components(written(sketches(ids, ("own_id", "tie")), "sketches"), ids)
+        first = F.min(F.struct(F.col("own_id").isNull().alias("absent"), "own_id", "tie", F.col("doc_id").alias("row")))
+        stay = kept(found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row)), "stay")
+    return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])

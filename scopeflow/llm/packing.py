@@ -6,10 +6,11 @@ Jaccard similarity of 0.75 on five-word shingles, and chains of them), and for t
 bitmaps, of their sources and of their clusters. For each piece the search starts at the least residual that has room and goes on to the
 next one until a bin without conflict is found: the tightest compatible bin. Otherwise a new bin is opened.
 
-Packing is done in shards of about SHARD_PIECES pieces, to which pieces are dealt by a hash of document and place, so a source or
-cluster with a third of all rows spreads over all shards; only ids and lengths are shuffled, never text. Results don't depend on how
-the input is partitioned. Empty documents (and null texts) have no tokens and get no bin: one row with a null bin. Null sources and
-null clusters conflict with nothing. Repeated rows are packed as often as they come, ordered by their place in the shard.
+Packing is done in shards of about SHARD_PIECES pieces, to which pieces are dealt by a hash of document, place and, for rows that are
+repeated, chunk of CHUNK of them: so a source, a cluster or a row with a third of all rows spreads over all shards. Only ids and lengths are shuffled,
+never text. Results don't depend on how the input is partitioned. Empty documents (and null texts) have no tokens and get no bin: one row with
+a null bin. Null sources and null clusters conflict with nothing. Repeated rows are packed as often as they come. Ties of length go by doc_id,
+piece, source and cluster; very long texts become many pieces; an empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopeflow.llm import neardup
-from scopeflow.llm.storage import written
+from scopeflow.llm.storage import kept, scratch, written
 from scopeflow.llm.tokens import encoder_of
 
 SHARD_PIECES = 4096
+CHUNK = 64  # equal rows that go to one shard together
 
 
 class Bins:
@@ -119,10 +121,10 @@ def clustered_lengths(documents: DataFrame, path: str) -> DataFrame:
     named = rows.select(F.col("doc_id").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), "text", "source")
     named = named.withColumn("copy", F.when(F.coalesce("text", F.lit("")) != "", F.md5("text")))
     columns = ["doc_id", "n_shingles", "key1", "key2", "bands", "own_id", "source", "copy"]
-    docs = written(token_lengths(neardup.sketches(named, ("own_id", "source", "copy", "text")), path, columns), "sketches")
-    once = named.where("own_id is not null").unionAll(named.where("own_id is null").dropDuplicates(["doc_id"]))
-    cluster = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.col("copy"))
-    return neardup.with_components(docs, once).select(F.col("own_id").alias("doc_id"), "source", cluster.alias("cluster"), "n_tokens")
+    with scratch(documents.sparkSession):
+        docs = written(token_lengths(neardup.sketches(named, ("own_id", "source", "copy", "text")), path, columns), "sketches")
+        cluster = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.col("copy"))
+        return kept(neardup.with_components(docs, named).select(F.col("own_id").alias("doc_id"), "source", cluster.alias("cluster"), "n_tokens"), "lengths")
 
 
 def pack_documents(lengths: DataFrame, n_rows: int, capacity: int = 2048, id_col: str = "doc_id", length_col: str = "n_tokens", source_col: str = "source", cluster_col: str = "cluster") -> DataFrame:
@@ -134,11 +136,16 @@ def pack_documents(lengths: DataFrame, n_rows: int, capacity: int = 2048, id_col
     rows = lengths.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"), F.col(length_col).cast("long").alias("n"))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.col("n") - 1) / capacity).cast("int")))))
     pieces = pieces.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start")))
-    shard = F.pmod(F.xxhash64("doc_id", "cluster", "n", "piece"), F.lit(n_shards)).cast("int")
-    pieces = pieces.select(shard.alias("shard"), "doc_id", "source", "cluster", "piece", "start", "length")
+    # Equal rows are counted first and sent on in chunks, each to a shard of its own.
+    equal = pieces.groupBy("doc_id", "source", "cluster", "piece", "start", "length").agg(F.count("*").alias("m"))
+    equal = equal.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / CHUNK))))
+    shard = F.pmod(F.xxhash64("doc_id", "cluster", "length", "piece", "chunk"), F.lit(n_shards)).cast("int")
+    times = F.least(F.lit(CHUNK), F.col("m") - CHUNK * F.col("chunk")).cast("int")
+    pieces = equal.select(shard.alias("shard"), "doc_id", "source", "cluster", "piece", "start", "length", times.alias("times"))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table["times"].to_numpy())))
         n = table.num_rows - int(np.count_nonzero(table["length"].to_numpy() == 0))  # empty ones come last and get no bin
         placed = pack(list(zip(*(table[c].slice(0, n).to_pylist() for c in ("length", "source", "cluster")))), capacity)
         first = table["shard"][0].as_py() << 32

@@ -319,23 +319,50 @@ def shingle_set(text):
 
 
 def brute_components(rows):
+    """doc_id -> (n_shingles of its last text, component); all texts of an id are one document's."""
     sets = {}
     for i, t in rows:
-        sets.setdefault(i, set()).update([frozenset(shingle_set(t))])
-    sets = {i: next(iter(s)) for i, s in sets.items()}
+        sets.setdefault(i, []).append(frozenset(shingle_set(t)))
     comp = {i: i for i in sets}
-    changed = True
-    while changed:
-        changed = False
-        for i in sets:
-            for j in sets:
-                if i < j and sets[i] and sets[j] and comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
-                    changed = True
-        for i in comp:
-            if comp[comp[i]] != comp[i]:
-                comp[i], changed = comp[comp[i]], True
-    return {i: (len(sets[i]), comp[i]) for i in sets}
+    near = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    links = [(i, j) for i in sets for j in sets if i < j and any(near(a, b) for a in sets[i] for b in sets[j])]
+    for _ in sets:
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    return {i: (len(sets[i][-1]), comp[i]) for i in sets}
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    a, b, c, d = words(40, 21), words(40, 22), words(40, 23), words(40, 24)
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, c), (9, None), (9, d), (10, d), (11, d), (11, d), (12, words(9, 2))]
+    got = collected(neardup.near_duplicates(make(spark, rows).repartition(3)), "doc_id", "component_id", "kept")
+    want = brute_components(rows)
+    assert got == sorted(((i, want[i][1], want[i][1] == i) for i, _ in rows), key=repr)
+    assert {i: want[i][1] for i in (3, 5, 7, 8, 9, 10, 11, 12)} == {3: 3, 5: 3, 7: 3, 8: 8, 9: 8, 10: 8, 11: 8, 12: 12}
+
+
+def test_split_buckets_give_the_same(spark, monkeypatch):
+    """Buckets of more than two rows are split, and a template that is shared by many links only what is near."""
+    monkeypatch.setattr(neardup, "HOT", 2)
+    r, rows = random.Random(8), []
+    template, base = words(80, 31), words(60, 32).split()
+    for i in range(30):
+        rows.append((i, f"{template} {words(r.randrange(14, 34), 100 + i)}"))
+    for i in range(30, 60):
+        own = list(base)
+        for k in r.sample(range(60), r.randrange(0, 3)):
+            own[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(own)))
+    want = brute_components(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(make(spark, rows)).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 5
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    rows = spark.range(40000).selectExpr("cast(1 as long) as doc_id", "'s' as source", "'c' as cluster", "cast(100 as long) as n_tokens")
+    out = packing.pack_documents(rows, 40000).selectExpr("shiftright(bin_id, 32) as shard", "bin_id").collect()
+    sizes = Counter(r.shard for r in out)
+    assert len(out) == len({r.bin_id for r in out}) == 40000 and len(sizes) == 10 and max(sizes.values()) < 8000
 
 
 def test_near_duplicates(spark, docs):
