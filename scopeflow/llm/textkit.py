@@ -76,12 +76,13 @@ class Words:
         return len(self.start)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE) -> Words:
+    """Maximal runs of bytes that are no ``separator`` (a flag for each byte) within each row."""
     n_rows = len(offsets) - 1
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, none, np.zeros(n_rows + 1, np.int64))
-    inside = ~IS_SPACE[data]
+    inside = ~separator[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()

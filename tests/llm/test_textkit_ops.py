@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -547,9 +548,77 @@ def test_guess_costs():
     assert all(secrets.guess_cost(v) >= secrets.MIN_COST for v in high)
 
 
-def test_guess_cost_is_the_least_segmentation():
-    assert secrets.guess_cost("lovemonkey") <= secrets.guess_cost("love") + secrets.guess_cost("monkey") + 1e-9
-    assert secrets.guess_cost("ab") == pytest.approx(2 * np.log10(26))
+def least_cost(value, ranks):
+    """All segmentations, piece by piece as the module defines them."""
+    lower = value.translate(AZ)
+    plain = lower.translate(secrets.LEET)
+    best = [0.0] + [np.inf] * len(value)
+    for j in range(1, len(value) + 1):
+        for i in range(j):
+            costs = [secrets._blind(value[i])] if j == i + 1 else []
+            for text, extra in ((lower[i:j], 0), (plain[i:j], 0.6)):
+                if j - i >= 3 and text in ranks and (not extra or text != lower[i:j]):
+                    cased = 0 if value[i:j] == lower[i:j] else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1
+                    costs.append(np.log10(ranks[text]) + 0.3 + cased + extra)
+            date = secrets._DATE.match(value, i)
+            if date and date.end() == j:
+                costs.append(2.1 if j - i <= 4 else 4.7)
+            if j - i >= 4 and all(secrets._near(a, b) for a, b in zip(lower[i:j], lower[i + 1 : j])):
+                costs.append(np.log10(47) + 0.3 * (j - i - 1))
+            for p in range(1, min(secrets.UNIT, (j - i) // 2) + 1):
+                if (j - i) % p == 0 and j - i >= 3 and value[i : j - p] == value[i + p : j] and value[j : j + p] != value[i : i + p]:
+                    costs.append(least_cost(value[i : i + p], ranks) + np.log10((j - i) // p) + 0.3)
+            best[j] = min([best[j], *(best[i] + c for c in costs)])
+    return best[-1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(hs.one_of(hs.text(alphabet="ab1q2wPpés$0", max_size=14), hs.lists(hs.sampled_from(["pass", "P@ss", "qwer", "1999", "12", "ab", "x", "love", "LOVE", "1/1/2020", "é"]), max_size=6).map("".join)))
+def test_guess_cost_is_the_least_segmentation(value):
+    ranks = {**secrets.RANK, "aba": 70, "qab": 900, "éé": 5, "ééa": 3}
+    want = least_cost(value, ranks)
+    assert secrets.guess_cost(value, ranks) == pytest.approx(want)
+    assert (secrets.guess_cost(value, ranks, 6.0) < 6.0) == (want < 6.0 - 1e-9) or want == pytest.approx(6.0)
+    assert secrets.guess_cost(value, ranks, rest=1000) <= want + 1e-9
+
+
+@pytest.mark.parametrize("value", ["qw" * 500_000, "12" * 500_000, "a" * 1_000_000, "university" * 100_000, "kX93vQz7" * 125_000, "".join(random.Random(1).choices("abcdefgh0123", k=1_000_000))])
+def test_long_values_take_linear_time(value):
+    began = time.perf_counter()
+    secrets.guess_cost(value, stop=secrets.MIN_COST)
+    assert time.perf_counter() - began < 3
+
+
+def test_words_of_the_corpus_are_no_secrets(spark, monkeypatch):
+    """Also those beyond the dictionary that is broadcast; the same masks whatever its size."""
+    plain = "between us two people the university department required someone to remember what sesquipedalian words are"
+    texts = [f"{plain} number{i}" for i in range(12)] + ["secret: between us", "auth: required", "pwd: remember", "pwd: sesquipedalian", "pwd => Un1versity", "pwd := 'kX93vQz7tLw2'", "auth: zqvxkjhwpb and auth: required", None]
+    docs = make(spark, list(enumerate(texts)))
+    rows = []
+    for top in (50_000, 8, 1):
+        monkeypatch.setattr(secrets, "TOP", top)
+        got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs.repartition(3)).collect()}
+        masked = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+        assert {i for i, spans in got.items() if spans} == {17, 18} and got[18].count("guess") == 1
+        assert masked[18] == "auth: [REDACTED] and auth: required" and masked[12] == texts[12] and masked[19] is None and len(masked) == 20
+        rows.append((got, masked))
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_base_finds_of_the_whole_table(spark):
+    """Query 9's base columns on all documents against the contract's patterns."""
+    got = {r.doc_id: r for r in llm.op9_secret_scan(spark, SF).collect()}
+    table = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(got) == len(table)
+    for i, t in table.items():
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 8]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, x, _ in found) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("guess")] == [x for x in base.split(",") if x]
 
 
 def test_secrets(spark, docs):
