@@ -515,27 +515,70 @@ def test_decontamination(spark):
     assert decontaminate.drop_contaminated(documents, benchmark.limit(0)).count() == len(rows)
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_a_joined_benchmark_gives_the_same(spark, monkeypatch):
     items = [(i, words(20, 100 + i)) for i in range(12)]
     rows = [(i, words(15, i) + " " + items[i % 12][1]) for i in range(24)]
     documents, benchmark = make(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     names = ("doc_id", "n_items", "item_id", "similarity", "kept")
     want = collected(decontaminate.judge_contamination(documents, benchmark), *names)
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(decontaminate, "INDEX_SHINGLES", 10)
     assert collected(decontaminate.judge_contamination(documents, benchmark), *names) == want and all(w[1] == 1 for w in want)
+    assert decontaminate.drop_contaminated(documents, benchmark).count() == 0
+    assert decontaminate.drop_contaminated(documents.withColumn("contamination_n_items", documents.doc_id), benchmark.where("item_id < 2")).count() == 20
+    with pytest.raises(ValueError):
+        decontaminate.mark_contamination(documents.withColumn("Item_id", documents.doc_id), benchmark)
 
 
-def test_fingerprints_of_similar_windows_are_within_the_radius():
-    r, far = random.Random(1), []
-    for _ in range(300):
-        own = words(r.randrange(12, 90), r.random()).split()
+def test_recall_and_selectivity_of_the_index():
+    """Windows edited down to a similarity of 0.75 are found; of unrelated pairs, few pass the index."""
+    r, found, all_, least = random.Random(1), 0, 0, 1.0
+    for k in range(1500):
+        n = r.randrange(12, 120)
+        own = words(n, r.random()).split()
         changed = list(own)
-        changed[r.randrange(len(own))] = "other"
+        for j in range(r.randrange(1, 4)):
+            changed[r.randrange(n)] = f"other{j}"
         a, b = decontaminate.shingle_hashes([" ".join(own), " ".join(changed)])
-        if weighted(a.tolist(), b.tolist()) >= 0.75:
-            p, q = decontaminate.fingerprint_windows(a, len(a)), decontaminate.fingerprint_windows(b, len(b))
-            far.append(int(np.unpackbits(p ^ q).sum()))
-    assert len(far) > 50 and max(far) <= decontaminate.RADIUS
+        s = weighted(a.tolist(), b.tolist())
+        if s >= 0.75:
+            least = min(least, s)
+            index = decontaminate.Index.build([(1, " ".join(changed))]).by_size[len(b)]
+            all_ += 1
+            found += len(list(index.candidates(decontaminate.fingerprint_windows(a, len(a))))) > 0
+    assert least < 0.76 and all_ > 500 and found / all_ >= 0.995
+    prints = [decontaminate.fingerprint_windows(decontaminate.shingle_hashes([words(60, f"{side}{k}")])[0], 56) for side in "ab" for k in range(400)]
+    a, b = np.concatenate(prints[:400]).view(np.uint32), np.concatenate(prints[400:]).view(np.uint32)
+    passed = np.zeros((400, 400), bool)
+    for k in range(decontaminate.BLOCKS):
+        passed |= np.bitwise_count(a[:, None, k] ^ b[None, :, k]) <= decontaminate.LIMITS[k]
+    assert (decontaminate.LIMITS.astype(int) + 1).sum() == decontaminate.RADIUS + 1
+    assert passed.mean() < 0.05
+    print(f"recall {found / all_:.4f} of {all_}, passed {passed.mean():.4f}")
+
+
+def test_contamination_of_the_whole_table(spark):
+    """Query 8 on all documents that share a shingle with an item against all windows."""
+    items = [(r.item_id, t) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(t := runs_of(r.text))]
+    held = {x for _, m in items for x in m}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        d, found = runs_of(r.text), {}
+        if held & set(d):
+            for k, m in items:
+                shared = set(m) & set(d)
+                if len(shared) >= len(set(m)) - len(m) / 4:
+                    s = max(weighted(d[p : p + len(m)], m) for p in range(max(1, len(d) - len(m) + 1)))
+                    if s >= 0.75:
+                        found[k] = s
+        best = min(found, key=lambda k: (-found[k], k)) if found else None
+        want[r.doc_id] = (len(found), best, found.get(best, 0.0), not found)
+    got = {r.doc_id: (r.n_items, r.item_id, r.similarity, r.kept) for r in llm.op8_decontamination(spark, SF).collect()}
+    assert got == want and 10 < sum(not w[-1] for w in want.values()) < len(want) / 2
+
+
+def runs_of(t):
+    w = WORD.findall((t or "").translate(AZ))
+    return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
 
 
 # ---- secrets ----
