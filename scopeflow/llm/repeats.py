@@ -7,16 +7,21 @@ because of it. An empty table gives no rows.
 
 How it runs. Windows (strings of LENGTH bytes) that share their minimizer, the least of their GRAM-byte grams by hash, make a segment;
 equal windows have equal minimizers, so all copies of a window meet at its minimizer. (1) Documents are packed into blocks, written once,
-bucketed by block so that later passes join small things to them without moving text. (2) Each block sends hashes of its minimizers;
-those seen in two documents are hot, and their places go back as bitmaps. (3) Each block sends its hot segments, equal ones once, with the
-least doc_id. Equal segments are merged; where different segments share a minimizer, their windows are sorted as suffixes of the
-bucket's text (``suffixes``: one suffix bucket at a time, long ties by difference-cover ranks) and each class of equal windows yields its
-least doc_id. (4) Verdicts per window go back to the blocks, which cut their texts.
-A group of copies, however large, sends each of its segments once per block.
+bucketed by block so that later passes join small things to them without moving text. (2) Each block sends hashes of its minimizers to
+buckets, as many as the text asks for; those seen in two documents are hot, and their places go back as bitmaps. (3) Each block sends its hot
+segments, equal ones once, with the least doc_id. They are merged twice: first those of a bucket and a group of blocks (of about the
+square root of all blocks), then what is left of a bucket; so a string that is in every block meets in no task more often than that.
+Segments are equal if their bytes are. Where different segments share a minimizer, their windows are sorted as suffixes of the bucket's text
+(``suffixes``: one suffix bucket at a time, long ties by difference-cover ranks) and each class of equal windows yields its least doc_id. (4)
+Verdicts per window go back to the groups and the blocks, which cut their texts. A task holds one bucket at a time.
+
+A group of copies, however large, sends each of its segments once per block. Long texts are blocks of their own. Only doc_id and text are read,
+so other columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopeflow.llm import textkit as tk
-from scopeflow.llm.storage import parallelism, remove, shared_dir, written
+from scopeflow.llm.storage import kept, parallelism, remove, scratch, shared_dir, written
 from scopeflow.llm.suffixes import sort_suffixes
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams of a window, and so the most windows of a segment: fits a 32-bit mask
 BLOCK_BYTES = 3 << 20
 SORT_BYTES = 1 << 20  # text that is sorted at a time
+BUCKET_BYTES = 32 << 20  # input text to a bucket
+MOST_FILES = 20_000  # buckets of the table of blocks: Spark allows 100,000
 _BASE = 0xC2B2AE3D27D4EB4F
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -176,23 +183,32 @@ def _send_grams(buckets: int):
     return send
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of each bucket of a partition."""
-    table = pa.Table.from_batches(batches)
-    if table.num_rows:
-        table = table.sort_by([("bucket", "ascending"), ("block", "ascending")])
-        bucket = table["bucket"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield int(bucket[a]), table.slice(a, b - a)
+def _gathered(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("bucket",)) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each bucket of a partition that is sorted by it, one bucket at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            key = tuple(int(c[a]) for c in columns)
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
 
 
 def _find_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block and bucket, a bit for each minimizer that it sent: seen in several documents, or in several blocks."""
-    batches = list(batches)
-    if not batches:
-        return
-    for bucket, rows in _gathered(batches):
+    for (bucket,), rows in _gathered(batches):
         cells = [np.frombuffer(c, np.uint8).reshape(-1, 5) for c in rows["grams"].to_pylist()]
         wide = np.zeros((sum(map(len, cells)), 8), np.uint8)
         wide[:, :5] = np.concatenate(cells)
@@ -227,15 +243,13 @@ def _hot(block: Block, buckets: int, bitmaps: list[dict]) -> Hot:
         hot[a:b] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: b - a].astype(bool)
     s = block.segments
     which = np.flatnonzero(hot[place])
-    content = tk.range_hashes(block.data, s.start[which], s.start[which] + s.count[which] + LENGTH - 1)
-    order = np.lexsort((block.ids[s.row[which]], content, s.gram[which] % np.uint64(buckets)))
-    sorted_content = content[order]
-    new = np.ones(len(order), bool)
-    new[1:] = sorted_content[1:] != sorted_content[:-1]
-    same = np.empty(len(order), np.int64)
-    same[order] = np.cumsum(new) - 1
-    rep = which[order[new]]
-    return Hot(which, same, rep, _cut_by(s.gram[rep] % np.uint64(buckets), buckets))
+    size = s.count[which] + LENGTH - 1
+    same, first = tk.equal_classes(block.data, s.start[which], size, block.ids[s.row[which]])
+    bucket = s.gram[which[first]] % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    nth = np.empty(len(order), np.int64)
+    nth[order] = np.arange(len(order))
+    return Hot(which, nth[same], which[first[order]], _cut_by(bucket[order], buckets))
 
 
 def _cut_by(bucket: np.ndarray, buckets: int) -> np.ndarray:
@@ -272,14 +286,62 @@ def _send_segments(buckets: int):
     return send
 
 
+@dataclass
+class Sent:
+    """Segments of several rows (docs, counts, offsets, text), one after another."""
+
+    docs: np.ndarray
+    counts: np.ndarray
+    offsets: np.ndarray
+    data: np.ndarray
+    n: list[int]  # of each row
+
+    @classmethod
+    def read(cls, rows: pa.Table) -> Sent:
+        cells = {c: rows[c].to_pylist() for c in ("docs", "counts", "offsets", "text")}
+        joined = {c: np.frombuffer(b"".join(v), "<i8" if c == "docs" else np.uint8) for c, v in cells.items()}
+        return cls(joined["docs"], joined["counts"].astype(np.int64), joined["offsets"].astype(np.int64), joined["text"], [len(c) for c in cells["counts"]])
+
+    @property
+    def size(self) -> np.ndarray:
+        return self.counts + LENGTH - 1
+
+    @property
+    def start(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+
+MERGED = "bucket int, part long, docs binary, counts binary, offsets binary, text binary, blocks binary, sizes binary, same binary, own binary"
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments of a bucket and a group of blocks: equal ones once, with the least doc_id; and which each block's are."""
+    for (bucket, part), rows in _gathered(batches, ("bucket", "part")):
+        sent = Sent.read(rows)
+        start, size = sent.start, sent.size
+        same, first = tk.equal_classes(sent.data, start, size, sent.docs)
+        cells = [sent.docs[first].astype("<i8"), sent.counts[first].astype(np.uint8), sent.offsets[first].astype(np.uint8), sent.data[_ranges(start[first], size[first])]]
+        cells += [rows["block"].to_numpy().astype("<i8"), np.array(sent.n, "<i8"), same.astype("<i4"), sent.docs]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["bucket", "part", "docs", "counts", "offsets", "text", "blocks", "sizes", "same", "own"])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Masks of merged segments back to the blocks: a copy in a greater document than the least has all its windows there too."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            cell = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
+            same = cell("same", "<i4")
+            masks = np.where(cell("own", "<i8") > cell("docs", "<i8")[same], np.uint32(0xFFFFFFFF), cell("masks", "<u4")[same])
+            blocks, cuts = cell("blocks", "<i8"), np.concatenate([[0], np.cumsum(cell("sizes", "<i8"))])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([batch.column("bucket")[i].as_py()] * len(blocks), pa.int32()), pa.array([masks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["block", "bucket", "masks"])
+
+
 def least_docs(docs: np.ndarray, counts: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For every window of every segment of a bucket, in turn, the least doc_id in which the window starts."""
     size = counts + LENGTH - 1
     start = np.cumsum(size) - size
-    content = tk.range_hashes(data, start, start + size)
-    key, first, same = np.unique(content, return_index=True, return_inverse=True)
-    least = np.full(len(key), np.iinfo(np.int64).max)
-    np.minimum.at(least, same, docs)
+    same, first = tk.equal_classes(data, start, size, docs)
+    least = docs[first]
     # The distinct segments; windows of those that share their minimizer with a different segment are sorted.
     d_start, d_count = start[first], counts[first]
     gram = tk.range_hashes(data, d_start + offsets[first], d_start + offsets[first] + GRAM)
@@ -308,22 +370,16 @@ def least_docs(docs: np.ndarray, counts: np.ndarray, offsets: np.ndarray, data:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block and bucket, a 32-bit mask for each segment sent: its windows that start in a smaller document too."""
-    batches = list(batches)
-    if not batches:
-        return
-    for bucket, rows in _gathered(batches):
-        n = [len(c) for c in rows["counts"].to_pylist()]
-        docs = np.frombuffer(b"".join(rows["docs"].to_pylist()), "<i8")
-        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).astype(np.int64)
-        offsets = np.frombuffer(b"".join(rows["offsets"].to_pylist()), np.uint8).astype(np.int64)
-        least = least_docs(docs, counts, offsets, np.frombuffer(b"".join(rows["text"].to_pylist()), np.uint8))
-        at = np.cumsum(counts) - counts
-        nth = np.arange(len(least)) - np.repeat(at, counts)
-        bits = np.where(least < np.repeat(docs, counts), np.uint32(1) << nth.astype(np.uint32), np.uint32(0))
+    """For each group and bucket, a 32-bit mask for each segment sent: its windows that start in a smaller document too."""
+    for (bucket,), rows in _gathered(batches):
+        sent = Sent.read(rows)
+        least = least_docs(sent.docs, sent.counts, sent.offsets, sent.data)
+        at = np.cumsum(sent.counts) - sent.counts
+        nth = np.arange(len(least)) - np.repeat(at, sent.counts)
+        bits = np.where(least < np.repeat(sent.docs, sent.counts), np.uint32(1) << nth.astype(np.uint32), np.uint32(0))
         masks = np.bitwise_or.reduceat(bits, at).astype("<u4")
-        cuts = np.cumsum([0, *n])
-        yield pa.RecordBatch.from_arrays([rows["block"].combine_chunks(), pa.array([bucket] * len(n), pa.int32()), pa.array([masks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["block", "bucket", "masks"])
+        cuts = np.cumsum([0, *sent.n])
+        yield pa.RecordBatch.from_arrays([rows["part"].combine_chunks(), pa.array([bucket] * len(sent.n), pa.int32()), pa.array([masks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["part", "bucket", "masks"])
 
 
 def removed_bytes(block: Block, hot: Hot | None, masks: list[dict]) -> np.ndarray:
@@ -373,20 +429,31 @@ def _cut_texts(buckets: int):
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay)."""
     spark = documents.sparkSession
-    buckets = parallelism(spark)
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parallelism(spark), -(-total // BUCKET_BYTES))
+    groups = max(1, math.isqrt(total // BLOCK_BYTES))
     path, name = shared_dir(spark, "blocks"), f"blocks_{uuid.uuid4().hex}"
-    _blocks(documents).write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    _blocks(documents).write.bucketBy(min(buckets, MOST_FILES), "block").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.repartition(buckets, *by).sortWithinPartitions(*by)
+
     try:
-        blocks = spark.table(name)
-        grams = blocks.mapInArrow(_send_grams(buckets), "bucket int, block long, grams binary")
-        hot = written(grams.repartition(buckets, "bucket").mapInArrow(_find_hot, "block long, bucket int, bits binary"), "hot")
-        bitmaps = hot.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bitmaps"))
-        marked = blocks.join(bitmaps, "block", "left")
-        sent = marked.mapInArrow(_send_segments(buckets), "bucket int, block long, docs binary, counts binary, offsets binary, text binary")
-        judged = written(sent.repartition(buckets, "bucket").mapInArrow(_judge, "block long, bucket int, masks binary"), "masks")
-        masks = judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks"))
-        out = marked.join(masks, "block", "left").mapInArrow(_cut_texts(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-        return written(out, "repeats")
+        with scratch(spark):
+            blocks = spark.table(name)
+            grams = blocks.mapInArrow(_send_grams(buckets), "bucket int, block long, grams binary")
+            hot = written(dealt(grams, "bucket").mapInArrow(_find_hot, "block long, bucket int, bits binary"), "hot")
+            bitmaps = hot.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bitmaps"))
+            marked = blocks.join(bitmaps, "block", "left")
+            sent = marked.mapInArrow(_send_segments(buckets), "bucket int, block long, docs binary, counts binary, offsets binary, text binary")
+            sent = sent.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+            merged = written(dealt(sent, "bucket", "part").mapInArrow(_merge, MERGED), "merged")
+            judged = dealt(merged.select("bucket", "part", "docs", "counts", "offsets", "text"), "bucket").mapInArrow(_judge, "part long, bucket int, masks binary")
+            back = merged.select("bucket", "part", "docs", "blocks", "sizes", "same", "own").join(judged, ["bucket", "part"])
+            masks = written(back.mapInArrow(_spread, "block long, bucket int, masks binary"), "masks")
+            masks = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks"))
+            out = marked.join(masks, "block", "left").mapInArrow(_cut_texts(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            return kept(out, "repeats")
     finally:
         spark.sql(f"drop table if exists {name}")
         remove(spark, path)

@@ -121,6 +121,42 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return h
 
 
+def equal_ranges(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of ``size`` bytes at ``one`` and at ``two`` hold the same bytes, pair by pair."""
+    same, words = np.ones(len(one), bool), words64(data)
+    which = np.flatnonzero(size > 0)
+    at = 0
+    while len(which):
+        keep = _FIRST[np.minimum(size[which] - at, 8)]
+        same[which] &= (words[one[which] + at] & keep) == (words[two[which] + at] & keep)
+        at += 8
+        which = which[(size[which] > at) & same[which]]
+    return same
+
+
+def equal_classes(data: np.ndarray, start: np.ndarray, size: np.ndarray, order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each range, the first range of each class by ``order_by``): ranges of one class hold the same bytes. Hashes propose, bytes decide."""
+    h = range_hashes(data, start, start + size)
+    order = np.lexsort((order_by, h))
+    new = np.ones(len(order), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # of each range's class
+    wrong = (size[order] != size[head]) | ~equal_ranges(data, start[order], start[head], np.minimum(size[order], size[head]))
+    which = np.cumsum(new) - 1
+    first = order[new]
+    extra: dict[bytes, int] = {}
+    for k in np.flatnonzero(wrong).tolist():  # two texts of one hash
+        i = order[k]
+        text = data[start[i] : start[i] + size[i]].tobytes()
+        if text not in extra:
+            extra[text] = len(first)
+            first = np.append(first, i)
+        which[k] = extra[text]
+    out = np.empty(len(order), np.int64)
+    out[order] = which
+    return out, first
+
+
 def shingles(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, first word) of every run of ``size`` words of a row; the whole of a shorter, non-empty row is its only one."""
     n = len(words)

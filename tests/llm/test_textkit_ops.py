@@ -719,3 +719,26 @@ def test_repeats_of_pieces(spark, seed, monkeypatch):
     rows = [(r.randrange(40), "".join(pool[(a := r.randrange(850)) : a + r.randrange(20, 130)] for _ in range(r.randrange(1, 6)))) for _ in range(50)]
     rows = list({i: (i, t) for i, t in rows}.values())
     assert collected(repeats.remove_repeats(make(spark, rows).repartition(4)), *NAMES) == brute_repeats(rows)
+
+
+def test_repeats_over_many_blocks(spark, monkeypatch):
+    """Blocks of a few documents, many buckets and groups, a passage in every document, and strings that a polynomial hash can't tell apart."""
+    for name, value in (("BLOCK_BYTES", 400), ("BUCKET_BYTES", 700)):
+        monkeypatch.setattr(repeats, name, value)
+    odd = "a"
+    while len(odd) < 2048:
+        odd += odd.translate(str.maketrans("ab", "ba"))
+    line = words(14, 77)
+    rows = [(i, f"{words(12, i)} {line} {words(9, i % 7)}") for i in range(60)] + [(70, odd), (71, odd.translate(str.maketrans("ab", "ba"))), (72, None)]
+    assert collected(repeats.remove_repeats(make(spark, rows).repartition(5)), *NAMES) == brute_repeats(rows)
+
+
+def test_equal_classes_go_by_bytes(monkeypatch):
+    data = np.frombuffer(b"abcdefgh1abcdefgh2abcdefgh1xyxyabcdefgh", np.uint8)
+    start, size = np.array([0, 9, 18, 27, 29, 31, 9]), np.array([9, 9, 9, 2, 2, 8, 8])
+    for hashed in (tk.range_hashes, lambda data, a, b: np.zeros(len(a), np.uint64)):
+        monkeypatch.setattr(tk, "range_hashes", hashed)
+        same, first = tk.equal_classes(data, start, size, np.array([5, 4, 3, 2, 1, 0, 9]))
+        texts = [bytes(data[a : a + n]) for a, n in zip(start, size)]
+        assert [[texts[i] == texts[j] for j in range(7)] for i in range(7)] == (same[:, None] == same[None]).tolist()
+        assert all(texts[first[c]] == t for c, t in zip(same, texts))
