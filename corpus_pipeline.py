@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scopeflow.llm import decontaminate, neardup, packing, quality, secrets
 from scopeflow.llm.queries import BYTE_BPE, CAPACITY
-from scopeflow.llm.storage import written
+from scopeflow.llm.storage import kept_at, remove, scratch
 from scopeflow.plans.ship import ship
 
 
@@ -47,8 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's own tables go once its result is written, and that result once the next one's is."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs, path = kept_at(stage(spark, docs, sf_dir), name)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

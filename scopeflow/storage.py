@@ -44,25 +44,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, *own)
 
 
-def _write(df: DataFrame, label: str, scope: list[str] | None) -> DataFrame:
+def _write(df: DataFrame, label: str, scope: list[str] | None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = shared_dir(spark, label)
     if scope is not None:
         scope.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor."""
-    return _write(df, label, _scopes()[-1] if _scopes() else None)
+    return _write(df, label, _scopes()[-1] if _scopes() else None)[0]
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """The same for a result: it outlives the scope that it is made in."""
+def kept_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The same for a result, and its path: it outlives the scope that it is made in."""
     return _write(df, label, _scopes()[-2] if len(_scopes()) > 1 else None)
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    return kept_at(df, label)[0]
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, or a longer one if a column is called so, in any case."""
     taken = {c.lower() for c in columns}
