@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from scopeflow.storage import kept, remove, scratch, shared_dir, unused, written
+from scopeflow.storage import kept, kept_at, remove, scratch, shared_dir, unused, written
 
-__all__ = ["kept", "parallelism", "remove", "scratch", "shared_dir", "unused", "written"]
+__all__ = ["kept", "kept_at", "parallelism", "remove", "scratch", "shared_dir", "unused", "written"]
 
 
 def parallelism(spark: SparkSession) -> int:
