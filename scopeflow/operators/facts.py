@@ -50,7 +50,7 @@ def scores(nodes: DataFrame, edges: DataFrame, settings: Settings) -> DataFrame:
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
     rows = nodes.select("id", "tier", any_of(F.col("carries_pan"), F.col("observed")).alias("holds"))
-    for part in (down, out, into, rc.betweenness(nodes, edges)):
+    for part in (down, out, into, rc.betweenness(nodes, edges, settings.exact_up_to, settings.pivots)):
         rows = rows.join(part, "id", "left")
     rows = rows.fillna(0)
     top = rows.agg(F.greatest(F.max("reach"), F.lit(1)).alias("top_reach"), F.greatest(F.max("b"), F.lit(1e-9)).alias("top_b"))

@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopeflow.operators.impact import origin_ranks
+from scopeflow.operators.impact import impact, origin_ranks
 
 MAX_ATOMS = 200_000
+POOL = 25  # the widest origins that a plan picks from
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,11 @@ def instance(estate, picks: int = 25) -> Instance:
     rows = estate.atoms.where(F.col("size") <= picks).orderBy(F.desc("weight"), "origins").limit(MAX_ATOMS + 1).collect()
     if len(rows) > MAX_ATOMS:
         raise ValueError(f"more than {MAX_ATOMS} distinct sets of origins: plan for one island at a time")
-    order = [r.origin for r in origin_ranks(estate).orderBy("rank").limit(MAX_ATOMS).collect()]
-    return Instance(tuple((frozenset(r.origins.split(",")), r.weight) for r in rows), tuple(order), estate.atoms.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
+    # Origins in no atom gain nothing, so only the first of those can be picked, one for each pick at most.
+    ranks = origin_ranks(estate)
+    named = estate.atoms.where(F.col("size") <= picks).select(F.explode(F.split("origins", ",")).alias("origin")).distinct()
+    order = ranks.where(F.col("rank") <= max(picks, POOL)).union(ranks.join(named, "origin", "left_semi")).distinct().orderBy("rank").collect()
+    return Instance(tuple((frozenset(r.origins.split(",")), r.weight) for r in rows), tuple(r.origin for r in order), estate.atoms.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
 
 
 def greedy(inst: Instance, steps: int, pool: int | None = None, strict: bool = False, enough: float | None = None) -> list[tuple[str, int, int]]:
@@ -80,17 +84,22 @@ def cumulative_curve(estate, inst: Instance, steps: int = 25) -> DataFrame:
     return rows.join(fed, "k")
 
 
-def tokenization_plan(estate, inst: Instance, target: float = 0.8, steps: int = 8, pool: int = 25) -> DataFrame:
+def plan_rows(estate, inst: Instance, target: float = 0.8, steps: int = 8, pool: int = POOL) -> list[tuple]:
+    """(step, system, gain, freed so far, scope after, percent of what can be freed) of the greedy plan."""
     picks = greedy(inst, steps, pool, strict=True, enough=target)
     before = estate.scope.count()
-    rows = [(i + 1, s, gain, freed, before - freed, round(100 * freed / max(1, inst.total), 1)) for i, (s, gain, freed) in enumerate(picks)]
+    return [(i + 1, s, gain, freed, before - freed, round(100 * freed / max(1, inst.total), 1)) for i, (s, gain, freed) in enumerate(picks)]
+
+
+def tokenization_plan(estate, inst: Instance, target: float = 0.8, steps: int = 8, pool: int = POOL) -> DataFrame:
+    rows = plan_rows(estate, inst, target, steps, pool)
     plan = estate.spark.createDataFrame(rows, "step long, tokenize string, marginal_descoped long, cumulative_descoped long, scope_after long, pct_of_descopable double")
     return plan.join(estate.facts.select(F.col("id").alias("tokenize"), F.col("solo").alias("solo_descope")), "tokenize", "left")
 
 
 def levers(estate, inst: Instance, n: int = 3) -> list[str]:
     """The first greedy picks, filled up with the sources of most feeds."""
-    picks = [s for s, _, _ in greedy(inst, max(1, n), 25, strict=True, enough=1.0)]
+    picks = [s for s, _, _ in greedy(inst, max(1, n), POOL, strict=True, enough=1.0)]
     if len(picks) < n:
         more = estate.facts.where("is_origin").orderBy(F.desc("reach"), F.desc("solo"), "id").limit(n + len(picks)).select("id").collect()
         picks += [r.id for r in more if r.id not in picks]
@@ -147,6 +156,31 @@ def frontier(estate, inst: Instance, k_max: int = 10) -> DataFrame:
     return rows.mapInPandas(solve, "k long, optimal long, greedy long, gap long, certified boolean, upper_bound long, sources string, pct double")
 
 
+def optimization(estate, inst: Instance, k_max: int = 10) -> DataFrame:
+    """The frontier, and on each row how it was solved, the largest gap to greedy, and greedy's share of the optimum where greedy stops gaining."""
+    rows = frontier(estate, inst, k_max)
+    stop = len(greedy(inst, k_max, strict=True))
+    share = F.max(F.when(F.col("k") == stop, F.when(F.col("optimal") > 0, F.bround(100 * F.col("greedy") / F.col("optimal"), 1)).otherwise(100.0)))
+    whole = rows.agg(F.when(F.min("certified"), "branch and bound, certified").otherwise("branch and bound, not certified").alias("method"), F.max("gap").alias("max_greedy_gap"), F.coalesce(share, F.lit(100.0)).alias("greedy_efficiency_pct"))
+    return rows.crossJoin(F.broadcast(whole))  # one row
+
+
+def next_actions(estate, inst: Instance) -> DataFrame:
+    """(place, action, systems, amount): tokenize the plan's first three (their summed reach, what they free and what they leave with fewer feeds), then look
+    into the hidden systems (the first of them and how far it reaches)."""
+    steps = plan_rows(estate, inst)[:3]
+    names = [r[1] for r in steps]
+    chosen = estate.spark.createDataFrame([("plan", s) for s in names], "label string, id string")
+    hit = impact(estate, chosen).select(F.explode(F.array(F.struct(F.lit(2).alias("place"), F.lit("freed").alias("action"), F.col("nodes_descoped").alias("amount")), F.struct(F.lit(3).alias("place"), F.lit("feeds_removed").alias("action"), F.col("feeds_removed").alias("amount")))).alias("x"))
+    hit = hit.select("x.place", "x.action", F.lit(",".join(names)).alias("systems"), "x.amount")
+    reach = estate.facts.where(F.col("id").isin(names)).agg(F.sum("reach").alias("amount")).where("amount is not null")
+    reach = reach.select(F.lit(1).alias("place"), F.lit("tokenize").alias("action"), F.lit(",".join(names)).alias("systems"), "amount")
+    hidden = estate.facts.where("hidden")
+    missed = hidden.agg(F.count("*").alias("amount")).where("amount > 0").select(F.lit(4).alias("place"), F.lit("hidden").alias("action"), F.lit("").alias("systems"), "amount")
+    worst = hidden.orderBy(F.desc("reach"), "id").limit(1).select(F.lit(5).alias("place"), F.lit("start_with").alias("action"), F.col("id").alias("systems"), F.col("reach").alias("amount"))
+    return reach.unionAll(hit).unionAll(missed).unionAll(worst)
+
+
 def milestones(curve: DataFrame) -> DataFrame:
     """The least budget that frees 25, 50, 75 and all percent."""
     wanted = curve.sparkSession.createDataFrame([(25,), (50,), (75,), (100,)], "milestone int")

@@ -308,14 +308,14 @@ def min_cuts(edges: DataFrame, sources: DataFrame, targets: DataFrame, shown: in
     local = adjacency(edges.where("src <> dst"))
     if local is None:
         raise ValueError(f"minimum cuts take at most {LOCAL_EDGES} edges: give them a part of the graph")
-    roots = sorted(r.id for r in sources.select("id").limit(LOCAL_EDGES).collect())
+    # Sources without an edge cut nothing; the others are no more than edges.
+    roots = sorted(r.id for r in sources.select("id").join(edges.select(F.col("src").alias("id")), "id", "left_semi").distinct().collect())
+    targets = targets.select("id").join(sources.select("id"), "id", "left_anti")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = local.value
         for frame in frames:
             for target in frame["id"]:
-                if target in set(roots):
-                    continue
                 flow: dict[str, dict[str, int]] = {}
                 for u, vs in graph.items():
                     for v in vs:

@@ -123,6 +123,8 @@ def onboarding(estate, app: str, providers: list[str], consumers: list[str] | No
     ids = lambda c: rc.joined(F.collect_set(c))
     out = given.agg(
         ids(F.when((F.col("way") == "p") & F.col("in_scope"), F.col("id"))).alias("pan_providers"),
+        ids(F.when((F.col("way") == "p") & F.col("in_scope").isNotNull(), F.col("id"))).alias("providers_resolved"),
+        ids(F.when((F.col("way") == "c") & F.col("in_scope").isNotNull(), F.col("id"))).alias("consumers_resolved"),
         ids(F.when((F.col("way") == "p") & F.col("in_scope").isNull(), F.col("id"))).alias("unknown_providers"),
         ids(F.when((F.col("way") == "c") & F.col("in_scope").isNull(), F.col("id"))).alias("unknown_consumers"),
         F.coalesce(F.max(F.col("in_scope") & (F.col("way") == "p")), F.lit(False)).alias("receives_clear_pan"),
@@ -144,9 +146,10 @@ def onboarding(estate, app: str, providers: list[str], consumers: list[str] | No
         F.lit((app or "").strip().upper() or "NEW-APP").alias("app_id"),
         category.alias("category"),
         F.when(holds, TIER_CRITICAL).otherwise(TIER_HIGH if flags.get("crn_only") else TIER_NONE).alias("tier"),
-        "receives_clear_pan", "pan_providers", "unknown_providers", "unknown_consumers", "origins_reaching", "n_origins", "blocking",
+        "receives_clear_pan", "pan_providers", "providers_resolved", "consumers_resolved", "unknown_providers", "unknown_consumers", "origins_reaching", "n_origins", "blocking",
         ((category == "cde") & ~F.lit(own) & (F.col("n_origins") > 0) & (F.col("blocking") == "")).alias("can_fully_descope"),
         F.lit(always).alias("permanent_cde"),
+        F.lit(bool(flags.get("crn_only"))).alias("crn_only"),
         F.when(holds, F.col("n_pulled")).otherwise(0).cast("long").alias("scope_expansion"),
         F.when(holds, F.col("pulled")).otherwise("").alias("expansion_sample"),
         F.array_join(families(category, lambda c: profile.get(c, F.lit(False))), ",").alias("requirements"),
@@ -154,6 +157,33 @@ def onboarding(estate, app: str, providers: list[str], consumers: list[str] | No
     )
 
 
+def onboarding_scenarios(estate) -> DataFrame:
+    """Four systems that could come: one fed by the widest source, one that originates card data for a system out of scope, one that reads tokens only, one
+    that detokenizes. Those that need a system which isn't there are left out."""
+    f = estate.facts
+    top = [r.id for r in f.where("is_source").orderBy(F.desc("reach"), F.desc("solo"), F.desc("risk"), "id").limit(1).collect()]
+    out = [r.id for r in f.where("not in_scope and not carries_pan and not hidden").orderBy("id").limit(1).collect()]
+    rows = [onboarding(estate, "NEW-CONS", top)] if top else []
+    rows += [onboarding(estate, "NEW-ORIG", [], out, pan=True)] if out else []
+    rows += [onboarding(estate, "NEW-CRN", [], top, crn_only=True), onboarding(estate, "NEW-DETOK", top, detokenizes=True)]
+    both = rows[0]
+    for row in rows[1:]:
+        both = both.unionAll(row)
+    return both
+
+
+def category_sheet(estate) -> DataFrame:
+    """(place, name, systems): the three categories, then each family of requirements by its label, the most frequent first."""
+    names = {"cde": "In scope (CDE)", "connected": "Connected-to (also in scope)", "out": "Out of scope"}
+    kinds = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("place"), F.lit(k).alias("category"), F.lit(v).alias("name")) for i, (k, v) in enumerate(names.items())]))
+    known = estate.spark.range(1).select(kinds.alias("x")).select("x.*").join(estate.facts.groupBy("category").agg(F.count("*").alias("m")), "category", "left")
+    known = known.select("place", "name", F.coalesce("m", F.lit(0)).alias("systems"))
+    tallies = estate.facts.select(F.explode(families(F.col("category"))).alias("family")).groupBy("family").agg(F.count("*").alias("systems"))
+    label = F.coalesce(*[F.when(F.col("family") == k, v) for k, v in FAMILY_LABELS.items()], F.col("family"))
+    place = F.row_number().over(Window.orderBy(F.desc("systems"), "family")) + len(names)  # six families
+    return known.unionAll(tallies.select(place.alias("place"), label.alias("name"), "systems"))
+
+
 def pan_reconciliation(estate) -> DataFrame:
     """Declared against observed holders of card data."""
     n = F.count_if

@@ -73,6 +73,20 @@ def choke_points(estate) -> DataFrame:
     return rows.select(F.col("id").alias("system"), F.coalesce("branch_size", F.lit(0)).alias("branch_size"), F.col("reach").alias("downstream_reach"), "risk", (F.col("source_flag") > 0).alias("is_true_source"))
 
 
+def metrics(estate) -> DataFrame:
+    """One row on the flow within scope: concentration of reach, the longest path, islands, choke points (the twelve widest, and how many), its size, and
+    the least rank correlation of the risk ranking under other weightings."""
+    points = rc.articulation_points(estate.scope_edges).join(estate.facts.select("id", "reach"), "id")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("reach")).alias("far"), "id")))
+    choke = points.agg(F.array_join(F.slice(F.transform(order, lambda x: x["id"]), 1, 12), ",").alias("choke_points"), F.count("*").alias("choke_point_count"))
+    others = weight_sensitivity(estate).where(F.col("scenario") != next(iter(WEIGHTINGS))).agg(F.min("rho").alias("least_rho"))
+    parts = (islands(estate).agg(F.count("*").alias("pan_islands")), choke, estate.scope_edges.agg(F.count("*").alias("edges")), others)
+    out = concentration(estate).withColumn("propagation_depth", F.lit(depth(estate)))
+    for part in parts:
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out
+
+
 def ranks_by_weighting(estate) -> DataFrame:
     """(scenario, id, rank) of every system that holds card data, under each weighting."""
     f = estate.facts.where("is_source").select("id", F.bround(F.col("tier") / 4, 4).alias("f1"), F.bround("reach_norm", 4).alias("f2"), F.bround("b_norm", 4).alias("f3"), F.col("source_flag").alias("f4"))

@@ -21,6 +21,18 @@ from scopeflow.operators import views as vw
 from scopeflow.plans.estate import Estate
 
 
+STAGES = [
+    ("ingest", "reads the tables by role and masks card numbers"),
+    ("validate", "fails on any card number that got through"),
+    ("graph", "builds the flows and their closure from the sources"),
+    ("dag", "condenses cycles"),
+    ("score", "works out what is known of each system"),
+    ("analyze", "picks the levers"),
+    ("gate", "waits for a person"),
+    ("report", "writes up the numbers"),
+]
+
+
 class Engine:
     """Every question as a DataFrame over one estate."""
 
@@ -65,13 +77,43 @@ class Engine:
         return ru.onboarding(self.estate, app, providers, consumers, **flags)
 
     def structure(self) -> DataFrame:
-        return st.concentration(self.estate).crossJoin(F.broadcast(st.islands(self.estate).agg(F.count("*").alias("islands"))))  # one row each
+        return st.metrics(self.estate)
+
+    def headline(self) -> DataFrame:
+        return ru.totals(self.estate)
+
+    def what_ifs(self, sets: dict[str, list[str]]) -> DataFrame:
+        """The impact of several named sets at once."""
+        return im.impact(self.estate, im.labelled(self.estate, sets))
+
+    def enriched_plan(self) -> dict[str, DataFrame]:
+        """The plan with all that a decision on it asks for."""
+        e = self.estate
+        steps = [r[1] for r in pl.plan_rows(e, self.instance)]
+        return {
+            "plan": self.plan(),
+            "source_exposure": im.exposure(e).orderBy(F.desc("solo_descope"), F.desc("feeds_removed"), "system").limit(15),
+            "saturation_curve": im.saturation(e, 12),
+            "block_comparison": im.block_comparison(e, steps),
+            "optimization": pl.optimization(e, self.instance),
+            "floor": ru.economics(e, im.saturation(e)).select("in_scope_now", "achievable_floor", "removable"),
+        }
+
+    def scenarios(self) -> DataFrame:
+        return ru.onboarding_scenarios(self.estate)
+
+    def scope_rationale(self) -> str:
+        return na.scope_rationale(self.estate)
+
+    def agents(self) -> DataFrame:
+        """The stages of a run in order, and what each does."""
+        return self.estate.spark.createDataFrame(STAGES, "stage string, does string")
 
     def explanation(self) -> str:
         return na.explanation(self.estate).first().explanation
 
     def memo(self) -> str:
-        return na.memo(self.estate, self.curve())
+        return na.memo(self.estate, self.instance)
 
     def ask(self, question: str) -> str:
         return na.answer(self.estate, question)
@@ -93,10 +135,11 @@ class Engine:
             "ownership": ru.ownership(e),
             "tokenization_plan": self.curve(),
             "source_exposure": exposure.orderBy(F.desc("solo_descope"), F.desc("feeds_removed"), "system").limit(50).crossJoin(n).withColumn("pct_of_scope", F.bround(100 * F.col("downstream_reach") / F.col("scope"), 1)),
-            "optimization": self.frontier(),
+            "optimization": pl.optimization(e, self.instance),
+            "optimization_milestones": pl.milestones(self.frontier()),
             "segmentation_min_cut": self.min_cut(),
             "economics": ru.economics(e, im.saturation(e)),
-            "scope_categories": e.facts.groupBy("category").agg(F.count("*").alias("systems")),
+            "scope_categories": ru.category_sheet(e),
             "segmentation": st.choke_points(e),
         }
 

@@ -23,12 +23,13 @@ class Estate:
         self.nodes = written(fc.with_missing(nodes, self.edges), "nodes")
         self.unresolved, self.quality = unresolved, quality
 
-    _known: dict[tuple[str, str], Estate] = {}
+    _known: dict[tuple[str, str, str], Estate] = {}
 
     @classmethod
     def of_star(cls, spark: SparkSession, sf_dir: str) -> Estate:
-        """The estate projected from the star schema, kept for the life of the application."""
-        key = (spark.sparkContext.applicationId, sf_dir)
+        """The estate projected from the star schema. It is kept for the application while the files stay the same and its tables are there."""
+        files = [spark.read.parquet(f"{sf_dir}/{t}.parquet").inputFiles() for t in ("supplier", "nation", "region", "lineitem")]
+        key = (spark.sparkContext.applicationId, sf_dir, repr(files))
         if key not in cls._known:
             cls._known[key] = cls(*src.star_estate(spark, sf_dir))
         return cls._known[key]
@@ -36,8 +37,9 @@ class Estate:
     @classmethod
     def of_csv(cls, spark: SparkSession, files: dict[str, str]) -> Estate:
         found = roles.ingest(spark, files)
-        nodes, edges, unresolved = src.csv_estate(found)
-        return cls(nodes, edges, unresolved=unresolved, quality=found["quality"])
+        settings = Settings.of(spark)
+        nodes, edges, unresolved = src.csv_estate(found, settings.data_flow_edges)
+        return cls(nodes, edges, settings, unresolved, found["quality"])
 
     @cached_property
     def flat(self) -> DataFrame:

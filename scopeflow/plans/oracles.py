@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 _BASE = """
-with recursive raw as (select l_orderkey as k, l_suppkey as a,
-    lead(l_suppkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as b
-  from lineitem where l_orderkey % 149 = 0 or l_orderkey % 1499 = 1),
-er as (select 'S' || (case when k % 29 = 0 then a else least(a, b) end) as src, 'S' || (case when k % 29 = 0 then b else greatest(a, b) end) as dst, p as provenance,
-    case when p = 'metadata' then 'DS' || (k % 3 + 1) else 'DS5' end as source_dataset,
-    case when p = 'metadata' then case when k % 2 = 0 then 'Production' else 'DISASTER RECOVERY/BCP' end else '' end as environment,
-    case when p = 'metadata' then 'Depends on' else '' end as rel_type, case when p = 'inferred' then 'DS5_survey_upstream' else '' end as signal
-  from raw join (values ('metadata'), ('inferred')) v(p) on (p = 'metadata' and k % 149 = 0) or (p = 'inferred' and k % 1499 = 1) where b is not null),
+with recursive raw as (select l_suppkey as a, l_linestatus as st, lead(l_suppkey) over w as b, lead(l_suppkey, 2) over w as c
+  from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_linestatus)),
+near as (select least(a, b) as lo, greatest(a, b) as hi, count(*) as n, count(*) filter (where a > b) as back, count(*) filter (where st = 'O') as open
+  from raw where b is not null group by 1, 2),
+apart as (select least(a, c) as lo, greatest(a, c) as hi, count(*) as n from raw where a <> c group by 1, 2),
+forth as (select lo, hi, n, open, row_number() over (partition by lo order by n desc, hi) as up, row_number() over (partition by hi order by n desc, lo) as down from near),
+turned as (select lo, hi, n, open, row_number() over (partition by n_regionkey order by back desc, hi, lo) as rank
+  from near join supplier on s_suppkey = hi join nation on n_nationkey = s_nationkey where back > 0),
+both_first as (select lo, hi, row_number() over (partition by lo order by n desc, hi) as x, row_number() over (partition by hi order by n desc, lo) as y from apart),
+er as (select 'S' || src as src, 'S' || dst as dst, 'metadata' as provenance, source_dataset, case when 2 * open >= n then 'Production' else 'DISASTER RECOVERY/BCP' end as environment,
+    'Depends on' as rel_type, '' as signal
+  from (select lo as src, hi as dst, n, open, case when up = 1 then 'DS1' else 'DS2' end as source_dataset from forth where up = 1 or (up <= 3 and down <= 2) union all select hi, lo, n, open, 'DS3' from turned where rank = 1)
+  union all select 'S' || lo, 'S' || hi, 'inferred', 'DS5', '', '', 'DS5_survey_upstream' from both_first where x = 1 and y = 1),
 n0 as (select s_suppkey as k, 'S' || s_suppkey as id, s_suppkey % 7 <> 0 as in_bam, s_suppkey % 7 <> 0 and s_suppkey % 5 <> 0 as pci_flag,
     s_suppkey % 11 = 0 and s_suppkey % 7 <> 0 as carries_pan, s_suppkey % 11 = 0 and s_suppkey % 7 <> 0 and s_suppkey % 44 = 0 as detokenizes,
     s_suppkey % 13 = 4 as observed, s_name as app_name, case when s_suppkey % 7 <> 0 then n_name else '' end as line_of_business,
@@ -38,7 +43,7 @@ idg as (select dst as id, count(*) as in_degree from e group by dst),
 scc as (select id, coalesce(least(id, (select min(x.dst) from c x where x.src = n.id and exists (select 1 from c y where y.src = x.dst and y.dst = x.src))), id) as scc from n)
 """
 _BFS = """
-lv as (select src, dst, 1 as d from e where src <> dst union select lv.src, e.dst, lv.d + 1 from lv join e on lv.dst = e.src and lv.src <> e.dst where lv.d < 60),
+lv as (select src, dst, 1 as d from e where src <> dst union select lv.src, e.dst, lv.d + 1 from lv join e on lv.dst = e.src and lv.src <> e.dst where lv.d < (select count(*) from n)),
 bfs as (select src, dst, min(d) as d from lv group by src, dst),
 """
 _SIGMA = """

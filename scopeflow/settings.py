@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class Weights:
-    """Of the factors of risk; they sum to 1."""
+    """Of the factors of risk; they sum to 1. The defaults."""
 
     sensitivity: float = 0.40
     reach: float = 0.30
@@ -23,6 +23,8 @@ class Weights:
 
 @dataclass(frozen=True)
 class Cost:
+    """The defaults."""
+
     days_per_cde: float = 0.5
     days_per_connected: float = 0.15
     day_rate: float = 2500.0
@@ -35,6 +37,9 @@ class Settings:
     cost: Cost = field(default_factory=Cost)
     #: Edges run from provider to consumer; False turns them round.
     data_flow_edges: bool = True
+    #: Betweenness is summed over all starts; if this is set, beyond so many systems only over ``pivots`` of them.
+    exact_up_to: int | None = None
+    pivots: int = 400
 
     @classmethod
     def of(cls, spark: SparkSession) -> Settings:
@@ -50,6 +55,9 @@ class Settings:
         return cls(
             Weights(*(number(f"weight.{k}", getattr(w, k)) for k in ("sensitivity", "reach", "betweenness", "source"))),
             Cost(number("cost.days_per_cde", c.days_per_cde), number("cost.days_per_connected", c.days_per_connected), number("cost.day_rate", c.day_rate), int(number("cost.roc_threshold", c.roc_threshold))),
+            spark.conf.get("spark.scopeflow.data_flow_edges", "true").strip().lower() not in ("false", "no", "0"),
+            int(number("exact_up_to", 0)) or None,
+            int(number("pivots", cls.pivots)),
         )
 
 

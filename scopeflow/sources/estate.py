@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scopeflow.functions import text as tx
 from scopeflow.settings import TIER_CRITICAL, TIER_HIGH, TIER_NONE, TIER_OBSERVED
 from scopeflow.sources import roles
+from scopeflow.storage import written
 
 FLAGS = ("in_bam", "pci_flag", "carries_pan", "detokenizes", "pan_store", "pan_process", "crn_only", "full_track", "pin", "pan_in_logs", "feeds_splunk", "observed")
 TEXTS = ("data_classification", "app_name", "line_of_business", "business_group", "tech_area", "finding", "stated_source")
@@ -29,7 +30,7 @@ def systems(df: DataFrame) -> DataFrame:
 
 
 def star_estate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(systems, edges) projected from the star schema: suppliers, and consecutive line items of some orders."""
+    """(systems, edges) projected from the star schema: suppliers, and flows from all line items."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     k = F.col("s_suppkey")
     carries = (k % 11 == 0) & (k % 7 != 0)
@@ -53,22 +54,44 @@ def star_estate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         F.when(in_bam, F.col("r_name")).otherwise("").alias("business_group"),
         F.when(k % 13 == 4, "True PAN").otherwise("").alias("finding"),
     )
-    o = F.col("l_orderkey")
-    items = table("lineitem").where((o % 149 == 0) | (o % 1499 == 1)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    following = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    pairs = items.withColumn("b", following).where("b is not null").withColumnRenamed("l_suppkey", "a")
-    raw = o % 29 == 0
-    kinds = F.explode(F.filter(F.array(F.when(o % 149 == 0, "metadata"), F.when(o % 1499 == 1, "inferred")), lambda p: p.isNotNull()))
-    edges = pairs.withColumn("provenance", kinds).select(
-        F.concat(F.lit("S"), F.when(raw, F.col("a")).otherwise(F.least("a", "b"))).alias("src"),
-        F.concat(F.lit("S"), F.when(raw, F.col("b")).otherwise(F.greatest("a", "b"))).alias("dst"),
-        "provenance",
-        F.when(F.col("provenance") == "metadata", F.concat(F.lit("DS"), o % 3 + 1)).otherwise("DS5").alias("source_dataset"),
-        F.when(F.col("provenance") == "metadata", F.when(o % 2 == 0, "Production").otherwise("DISASTER RECOVERY/BCP")).otherwise("").alias("environment"),
-        F.when(F.col("provenance") == "metadata", "Depends on").otherwise("").alias("rel_type"),
-        F.when(F.col("provenance") == "inferred", "DS5_survey_upstream").otherwise("").alias("signal"),
+    return systems(rows), _star_edges(table("lineitem"), table("supplier"), table("nation"))
+
+
+def _star_edges(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """Flows among suppliers, by how often they follow each other in orders; all line items are counted.
+
+    Recorded, low key to high: each supplier's strongest direct neighbour of no lower key (DS1), and the next two where the supplier is among the
+    neighbour's own two strongest (DS2). Recorded, high to low: of each region of the world the pair that most often stands so (DS3);
+    these make cycles. Inferred: pairs two items apart that are each other's strongest. Ties go to the least key.
+    """
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+    after = [F.struct(F.lit(gap).alias("gap"), F.lead("l_suppkey", gap).over(order).alias("b")) for gap in (1, 2)]
+    items = lineitem.select(F.col("l_suppkey").alias("a"), (F.col("l_linestatus") == "O").alias("open"), F.array(*after).alias("after"))
+    pairs = items.select("a", "open", F.inline("after")).where("b is not null and (gap = 1 or a <> b)")
+    pairs = pairs.groupBy("gap", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.count("*").alias("n"), F.count_if(F.col("a") > F.col("b")).alias("back"), F.count_if("open").alias("open"))
+    pairs = written(pairs, "pairs")
+    near, apart = pairs.where("gap = 1"), pairs.where("gap = 2")
+
+    rank = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy(F.desc("n"), other))
+    forth = near.withColumns({"up": rank("lo", "hi"), "down": rank("hi", "lo")}).where("up = 1 or (up <= 3 and down <= 2)")
+    forth = forth.select("lo", "hi", "n", "open", F.when(F.col("up") == 1, "DS1").otherwise("DS2").alias("source_dataset"))
+    regions = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("hi"), "n_regionkey")
+    turned = near.where("back > 0").join(regions, "hi").groupBy("n_regionkey").agg(F.max(F.struct("back", (-F.col("hi")).alias("hi"), (-F.col("lo")).alias("lo"), "n", "open")).alias("x"))
+    turned = turned.select((-F.col("x.hi")).alias("lo"), (-F.col("x.lo")).alias("hi"), "x.n", "x.open", F.lit("DS3").alias("source_dataset"))
+    recorded = forth.unionByName(turned).select(
+        F.concat(F.lit("S"), "lo").alias("src"),
+        F.concat(F.lit("S"), "hi").alias("dst"),
+        F.lit("metadata").alias("provenance"),
+        "source_dataset",
+        F.when(2 * F.col("open") >= F.col("n"), "Production").otherwise("DISASTER RECOVERY/BCP").alias("environment"),
+        F.lit("Depends on").alias("rel_type"),
+        F.lit("").alias("signal"),
     )
-    return systems(rows), edges
+    first = lambda own, other: apart.groupBy(own).agg((-F.max(F.struct("n", (-F.col(other)).alias("x")))["x"]).alias(other))
+    inferred = first("lo", "hi").join(first("hi", "lo"), ["lo", "hi"]).select(
+        F.concat(F.lit("S"), "lo").alias("src"), F.concat(F.lit("S"), "hi").alias("dst"), F.lit("inferred").alias("provenance"), F.lit("DS5").alias("source_dataset"), F.lit("").alias("environment"), F.lit("").alias("rel_type"), F.lit("DS5_survey_upstream").alias("signal")
+    )
+    return recorded.unionByName(inferred)
 
 
 def made_up_estate(spark: SparkSession, n: int, n_sources: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
