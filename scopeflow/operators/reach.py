@@ -6,10 +6,14 @@ joins level by level. Both ways give the same rows.
 
 from __future__ import annotations
 
+import weakref
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,40 +22,95 @@ from scopeflow.storage import written
 #: Edges of a graph that may be broadcast (about 16 bytes each as they travel).
 LOCAL_EDGES = 1_000_000
 CUT_EVERY = 4  # rounds of a loop after which its table is written
+COPIES = 16  # starts that a search follows side by side
+_GRAPHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+class Graph:
+    """Distinct edges as arrays: the successors of node i are ``to[first[i] : first[i + 1]]``, in order; ids are in order too."""
+
+    def __init__(self, src: list[str], dst: list[str]):
+        self.ids, both = np.unique(np.array([*src, *dst], dtype=object), return_inverse=True)
+        n = len(self.ids)
+        edges = np.unique(both[: len(src)].astype(np.int64) * n + both[len(src) :])
+        self.to = edges % max(1, n)
+        self.first = np.searchsorted(edges, np.arange(n + 1) * n)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    @cached_property
+    def names(self) -> pa.Array:
+        return pa.array(self.ids, pa.string())
+
+    def numbers(self, ids: list[str]) -> np.ndarray:
+        """The nodes of those ``ids`` that are in the graph."""
+        wanted = np.array(ids, dtype=object)
+        at = np.minimum(np.searchsorted(self.ids, wanted), len(self) - 1) if len(self) else np.zeros(0, np.int64)
+        return at[self.ids[at] == wanted] if len(self) else at
+
+    def steps(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(from, to) of all edges out of ``level``: places in COPIES copies of the nodes, one after another."""
+        node = level % len(self)
+        out = self.first[node + 1] - self.first[node]
+        total = np.cumsum(out)
+        at = np.repeat(self.first[node] - (total - out), out) + np.arange(int(total[-1]) if len(total) else 0)
+        return np.repeat(level, out), self.to[at] + np.repeat(level - node, out)
+
+    @cached_property
+    def successors(self) -> dict[str, list[str]]:
+        cuts = self.first.tolist()
+        names, to = self.ids.tolist(), self.ids[self.to].tolist()
+        return {names[i]: to[a:b] for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b}
+
+    @cached_property
+    def components(self) -> list[list[str]]:
+        """Cycle clusters and single nodes, each after all that it leads to."""
+        return strong_components(self.successors)
 
 
 def adjacency(edges: DataFrame, limit: int = LOCAL_EDGES):
-    """A broadcast of src -> sorted dsts, or None where the graph has more than ``limit`` edges."""
-    rows = edges.select("src", "dst").limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        return None
-    out: dict[str, list[str]] = {}
-    for a, b in zip(rows["src"], rows["dst"]):
-        out.setdefault(a, []).append(b)
-    return edges.sparkSession.sparkContext.broadcast({k: sorted(set(v)) for k, v in out.items()})
+    """A broadcast of the graph, or None where it has more than ``limit`` edges. One is kept for each table of edges."""
+    if edges not in _GRAPHS:
+        rows = edges.select("src", "dst").limit(LOCAL_EDGES + 1).toArrow()
+        known = None
+        if rows.num_rows <= LOCAL_EDGES:
+            graph = Graph(rows["src"].to_pylist(), rows["dst"].to_pylist())
+            known = (edges.sparkSession.sparkContext.broadcast(graph), len(graph.to))
+        _GRAPHS[edges] = known
+    known = _GRAPHS[edges]
+    return None if known is None or known[1] > limit else known[0]
+
+
+def _batches(frames: Iterator[pa.RecordBatch], graph: Graph) -> Iterator[np.ndarray]:
+    for batch in frames:
+        starts = graph.numbers(batch.column(0).to_pylist())
+        for a in range(0, len(starts), COPIES):
+            yield starts[a : a + COPIES]
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, limit: int = LOCAL_EDGES) -> DataFrame:
     """(src, dst, hops): all that each node (or each of ``seeds.id``) reaches over one edge or more, and how soon. A node reaches itself over a cycle only."""
-    edges = edges.select("src", "dst").distinct()
     local = adjacency(edges, limit)
+    edges = edges.select("src", "dst").distinct()
     if local is not None:
         starts = edges.select(F.col("src").alias("id")).distinct() if seeds is None else seeds.select("id").distinct()
 
-        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             graph = local.value
-            for frame in frames:
-                for s in frame["id"]:
-                    seen: dict[str, int] = {}
-                    level, hops = [s], 0
-                    while level:
-                        hops += 1
-                        level = [v for v in dict.fromkeys(w for u in level for w in graph.get(u, ())) if v not in seen]
-                        seen.update(dict.fromkeys(level, hops))
-                    if seen:
-                        yield pd.DataFrame({"src": s, "dst": list(seen), "hops": pd.array(list(seen.values()), "int32")})
-
-        return starts.repartition("id").mapInPandas(search, "src string, dst string, hops int")
+            for own in _batches(frames, graph):
+                seen = np.zeros(len(own) * len(graph), bool)
+                level, hops = np.arange(len(own)) * len(graph) + own, 0
+                while len(level):
+                    hops += 1
+                    _, to = graph.steps(level)
+                    level = np.unique(to[~seen[to]])
+                    seen[level] = True
+                    if len(level):
+                        copy = level // len(graph)
+                        yield pa.RecordBatch.from_arrays([graph.names.take(pa.array(own[copy])), graph.names.take(pa.array(level % len(graph))), pa.array(np.full(len(level), hops, np.int32))], ["src", "dst", "hops"])
+
+        return starts.repartition("id").mapInArrow(search, "src string, dst string, hops int")
     frontier = edges if seeds is None else edges.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
     seen = frontier = written(frontier.withColumn("hops", F.lit(1)), "closure")
     hops = 1
@@ -73,17 +132,15 @@ def reach_counts(edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:
     """(id, reach): how many other nodes each node reaches; nodes that reach none are left out. No pair is made: nodes are taken against the flow,
     and each one's set is the union of its successors' sets, as bits; a task for each block of targets.
     """
-    edges = edges.select("src", "dst").distinct()
     local = adjacency(edges, limit)
     if local is None:
         return closure(edges, limit=limit).where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("reach"))
-    n = len(local.value.keys() | {v for vs in local.value.values() for v in vs})
+    n = len(local.value)
     blocks = edges.sparkSession.range(0, max(1, -(-n // BLOCK)), 1, max(1, -(-n // BLOCK)))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = local.value
-        order = strong_components(graph)
-        number = {v: i for i, v in enumerate(sorted(v for group in order for v in group))}
+        graph, order = local.value.successors, local.value.components
+        number = {v: i for i, v in enumerate(local.value.ids.tolist())}
         for frame in frames:
             for block in frame["id"]:
                 low, bits = int(block) * BLOCK, {}
@@ -151,9 +208,9 @@ def cycle_labels(edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:
         return same_component(closure(edges, limit=limit))
 
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = local.value
+        graph = local.value.successors
         for _ in frames:
-            rows = [(v, min(group)) for group in strong_components(graph) for v in group if len(group) > 1 or v in graph.get(v, ())]
+            rows = [(v, min(group)) for group in local.value.components for v in group if len(group) > 1 or v in graph.get(v, ())]
             yield pd.DataFrame(rows, columns=["id", "scc"], dtype="object")
 
     return edges.sparkSession.range(1).coalesce(1).mapInPandas(label, "id string, scc string")
@@ -195,40 +252,42 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact_up_to: int | None = No
     starts = nodes.select("id") if exact_up_to is None or n <= exact_up_to else nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(pivots)
     if n <= 2:
         return nodes.select("id", F.lit(0.0).alias("b"))
-    edges = edges.select("src", "dst").where("src <> dst").distinct()
     local = adjacency(edges, limit)
     if local is None:
-        parts = _brandes_by_joins(starts, edges)
+        parts = _brandes_by_joins(starts, edges.select("src", "dst").where("src <> dst").distinct())
     else:
-        parts = starts.repartition("id").mapInPandas(_brandes(local), "id string, b double")
+        parts = starts.repartition("id").mapInArrow(_brandes(local), "id string, b double")
     return nodes.select("id").join(parts.groupBy("id").agg(F.sum("b").alias("b")), "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("b"))
 
 
 def _brandes(local):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph, total = local.value, {}
-        for frame in frames:
-            for s in frame["id"]:
-                dist, paths, order, before = {s: 0}, {s: 1.0}, [], {}
-                queue = deque([s])
-                while queue:
-                    u = queue.popleft()
-                    order.append(u)
-                    for v in graph.get(u, ()):
-                        if v not in dist:
-                            dist[v] = dist[u] + 1
-                            queue.append(v)
-                        if dist[v] == dist[u] + 1:
-                            paths[v] = paths.get(v, 0.0) + paths[u]
-                            before.setdefault(v, []).append(u)
-                share = dict.fromkeys(order, 0.0)
-                for v in reversed(order):
-                    for u in before.get(v, ()):
-                        share[u] += paths[u] / paths[v] * (1 + share[v])
-                    if v != s and share[v]:
-                        total[v] = total.get(v, 0.0) + share[v]
-        if total:
-            yield pd.DataFrame({"id": list(total), "b": list(total.values())})
+    """Path counts level by level, then shares back, for COPIES starts at a time: the same node in another copy is another place."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = local.value
+        n = len(graph)
+        total = np.zeros(n)
+        for own in _batches(frames, graph):
+            far, paths, share = np.full(len(own) * n, -1, np.int32), np.zeros(len(own) * n), np.zeros(len(own) * n)
+            level = starts = np.arange(len(own)) * n + own
+            far[level], paths[level] = 0, 1.0
+            hops, steps = 0, []
+            while len(level):
+                hops += 1
+                u, v = graph.steps(level)
+                level = np.unique(v[far[v] < 0])
+                far[level] = hops
+                next_ = far[v] == hops  # an edge back, or to the node itself, is on no shortest path
+                u, v = u[next_], v[next_]
+                np.add.at(paths, v, paths[u])
+                steps.append((u, v))
+            for u, v in reversed(steps):
+                np.add.at(share, u, paths[u] / paths[v] * (1 + share[v]))
+            share[starts] = 0
+            total += share.reshape(len(own), n).sum(0)
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([graph.names.take(pa.array(some)), pa.array(total[some])], ["id", "b"])
 
     return run
 
@@ -258,7 +317,7 @@ def _in_one_task(edges: DataFrame, what: str, run, schema: str) -> DataFrame:
     local = adjacency(edges)
     if local is None:
         raise ValueError(f"{what} takes at most {LOCAL_EDGES} edges: give it a part of the graph, such as one island")
-    return edges.sparkSession.range(1).coalesce(1).mapInPandas(lambda frames: run(local.value), schema)
+    return edges.sparkSession.range(1).coalesce(1).mapInPandas(lambda frames: run(local.value.successors), schema)
 
 
 def articulation_points(edges: DataFrame) -> DataFrame:
@@ -305,7 +364,7 @@ def min_cuts(edges: DataFrame, sources: DataFrame, targets: DataFrame, shown: in
     """(target, cut_size, cut_edges): the fewest edges whose removal parts each target from all sources, and the first ``shown`` of them on
     the sources' side. A target that is a source can't be parted and is left out. Targets run in parallel.
     """
-    local = adjacency(edges.where("src <> dst"))
+    local = adjacency(edges)
     if local is None:
         raise ValueError(f"minimum cuts take at most {LOCAL_EDGES} edges: give them a part of the graph")
     # Sources without an edge cut nothing; the others are no more than edges.
@@ -313,7 +372,7 @@ def min_cuts(edges: DataFrame, sources: DataFrame, targets: DataFrame, shown: in
     targets = targets.select("id").join(sources.select("id"), "id", "left_anti")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = local.value
+        graph = {u: [v for v in vs if v != u] for u, vs in local.value.successors.items()}
         for frame in frames:
             for target in frame["id"]:
                 flow: dict[str, dict[str, int]] = {}

@@ -19,8 +19,11 @@ from scopeflow.operators import rollup as ru
 from scopeflow.operators import structure as st
 from scopeflow.operators import views as vw
 from scopeflow.plans.estate import Estate
+from scopeflow.sinks.pdf import write_pdf
+from scopeflow.sinks.xlsx import write_xlsx
 
 
+TOTALS = ("systems", "in_scope", "confirmed", "inferred_only", "hidden", "carriers", "origins", "pan_systems")
 STAGES = [
     ("ingest", "reads the tables by role and masks card numbers"),
     ("validate", "fails on any card number that got through"),
@@ -148,13 +151,40 @@ class Engine:
             writer = df.write.mode("overwrite")
             (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(f"{path}/{name}")
 
+    def write_workbook(self, path: str) -> None:
+        """All sheets, with notes and the dashboard's numbers, as one workbook."""
+        spark = self.estate.spark
+        notes = spark.createDataFrame([(line,) for line in (self.explanation(), self.scope_rationale(), self.memo())], "notes string")
+        head = ru.totals(self.estate).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, TOTALS)), F.array(*[F.col(c) for c in TOTALS]))).alias("metric", "value"))
+        board = head.unionAll(self.heavy_hitters().select("system", "downstream_reach")).unionAll(im.saturation(self.estate).select(F.format_string("freed by the first %d origins", "k"), "fully_descoped"))
+        write_xlsx(path, {"dashboard": board, **self.sheets(), "notes": notes})
+
+    def write_report(self, path: str) -> None:
+        """The executive report as PDF."""
+        write_pdf(path, self.markdown())
+
     def snapshot(self) -> DataFrame:
         """One JSON row per system: the payload of an explorer."""
         return vw.viz_nodes(self.estate).select(F.to_json(F.struct("*")).alias("json"))
 
     def markdown(self) -> str:
-        r = ru.totals(self.estate).first().asDict()
-        return "\n".join(["| metric | value |", "|-|-|", *(f"| {k} | {v} |" for k, v in r.items())])
+        """The report as text: what the numbers say, then the tables that a decision needs."""
+        e = self.estate
+        tables = {
+            "Totals": ru.totals(e),
+            "Structure": self.structure(),
+            "Widest distributors": self.heavy_hitters(),
+            "Plan": self.plan().orderBy("step"),
+            "Saturation": im.saturation(e).orderBy("k"),
+            "Cost": ru.economics(e, im.saturation(e)),
+            "Next actions": pl.next_actions(e, self.instance).orderBy("place"),
+            "Owners": ru.ownership(e).orderBy(F.desc("in_scope"), "line_of_business").limit(12),
+        }
+        out = ["# Scope of sensitive data", "", self.explanation(), "", self.scope_rationale(), "", self.memo()]
+        for name, df in tables.items():
+            rows = [df.columns, ["-"] * len(df.columns), *([str(v) for v in r] for r in df.collect())]
+            out += ["", f"## {name}", "", *("| " + " | ".join(r) + " |" for r in rows)]
+        return "\n".join(out)
 
 
 @dataclass
