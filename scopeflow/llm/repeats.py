@@ -9,8 +9,9 @@ How it runs. Windows (strings of LENGTH bytes) that share their minimizer, the l
 equal windows have equal minimizers, so all copies of a window meet at its minimizer. (1) Documents are packed into blocks, written once,
 bucketed by block so that later passes join small things to them without moving text. (2) Each block sends hashes of its minimizers to
 buckets, as many as the text asks for; those seen in two documents are hot, and their places go back as bitmaps. (3) Each block sends its hot
-segments, equal ones once, with the least doc_id. They are merged twice: first those of a bucket and a group of blocks (of about the
-square root of all blocks), then what is left of a bucket; so a string that is in every block meets in no task more often than that.
+segments, equal ones once, with the least doc_id; a bucket is judged at once. Segments of minimizers that are in OFTEN blocks or more have
+buckets of their own and are merged first: those of a bucket and a group of blocks (about the square root of all blocks), then what is
+left of a bucket; so a string that is in every block meets in no task more often than that.
 Segments are equal if their bytes are. Where different segments share a minimizer, their windows are sorted as suffixes of the bucket's text
 (``suffixes``: one suffix bucket at a time, long ties by difference-cover ranks) and each class of equal windows yields its least doc_id. (4)
 Verdicts per window go back to the groups and the blocks, which cut their texts. A task holds one bucket at a time.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopeflow.llm import textkit as tk
-from scopeflow.llm.storage import kept, parallelism, remove, scratch, shared_dir, written
+from scopeflow.llm.storage import bounded_batches, kept, parallelism, remove, scratch, shared_dir, written
 from scopeflow.llm.suffixes import sort_suffixes
 
 LENGTH, GRAM = 50, 20
@@ -41,6 +42,7 @@ SPAN = LENGTH - GRAM + 1  # grams of a window, and so the most windows of a segm
 BLOCK_BYTES = 3 << 20
 SORT_BYTES = 1 << 20  # text that is sorted at a time
 BUCKET_BYTES = 32 << 20  # input text to a bucket
+OFTEN = 64  # blocks from which on a minimizer is merged in two steps
 MOST_FILES = 20_000  # buckets of the table of blocks: Spark allows 100,000
 _BASE = 0xC2B2AE3D27D4EB4F
 _LOW = np.uint64(0xFFFFFFFF)
@@ -207,26 +209,25 @@ def _gathered(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("bucke
 
 
 def _find_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block and bucket, a bit for each minimizer that it sent: seen in several documents, or in several blocks."""
+    """For each block and bucket, bits for each minimizer that it sent: seen in several documents or blocks, and in OFTEN blocks."""
     for (bucket,), rows in _gathered(batches):
         cells = [np.frombuffer(c, np.uint8).reshape(-1, 5) for c in rows["grams"].to_pylist()]
         wide = np.zeros((sum(map(len, cells)), 8), np.uint8)
         wide[:, :5] = np.concatenate(cells)
         value = wide.view("<u8").ravel()
         gram = value >> np.uint64(1)
-        order = np.argsort(gram, kind="stable")
-        same = gram[order][1:] == gram[order][:-1]
-        hot = (value & np.uint64(1)).astype(bool)
-        hot[order[1:][same]] = True
-        hot[order[:-1][same]] = True
+        _, which, times = np.unique(gram, return_inverse=True, return_counts=True)
+        times = times[which]
+        hot = (value & np.uint64(1)).astype(bool) | (times > 1)
         at = np.cumsum([0, *map(len, cells)])
-        bits = [np.packbits(hot[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays([rows["block"].combine_chunks(), pa.array([bucket] * len(bits), pa.int32()), pa.array(bits, pa.binary())], ["block", "bucket", "bits"])
+        bits, often = ([np.packbits(flag[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])] for flag in (hot, times >= OFTEN))
+        yield pa.RecordBatch.from_arrays([rows["block"].combine_chunks(), pa.array([bucket] * len(bits), pa.int32()), pa.array(bits, pa.binary()), pa.array(often, pa.binary())], ["block", "bucket", "bits", "often"])
 
 
 @dataclass
 class Hot:
-    """The hot segments of a block; equal ones have one representative, of the least doc_id, and representatives are sorted by bucket."""
+    """The hot segments of a block; equal ones have one representative, of the least doc_id, and representatives are sorted by bucket: those of
+    frequent minimizers come in a second row of buckets after all others."""
 
     which: np.ndarray  # segments that are hot
     same: np.ndarray  # the representative (its place among them) of each
@@ -236,20 +237,21 @@ class Hot:
 
 def _hot(block: Block, buckets: int, bitmaps: list[dict]) -> Hot:
     gram, _, place = block.grams(buckets)
-    hot = np.zeros(len(gram), bool)
+    hot, often = np.zeros(len(gram), bool), np.zeros(len(gram), bool)
     cuts = _cut(gram, buckets)
     for row in bitmaps:
         a, b = cuts[row["bucket"]], cuts[row["bucket"] + 1]
-        hot[a:b] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: b - a].astype(bool)
+        for flag, name in ((hot, "bits"), (often, "often")):
+            flag[a:b] = np.unpackbits(np.frombuffer(row[name], np.uint8))[: b - a].astype(bool)
     s = block.segments
     which = np.flatnonzero(hot[place])
     size = s.count[which] + LENGTH - 1
     same, first = tk.equal_classes(block.data, s.start[which], size, block.ids[s.row[which]])
-    bucket = s.gram[which[first]] % np.uint64(buckets)
+    bucket = s.gram[which[first]] % np.uint64(buckets) + np.uint64(buckets) * often[place[which[first]]]
     order = np.argsort(bucket, kind="stable")
     nth = np.empty(len(order), np.int64)
     nth[order] = np.arange(len(order))
-    return Hot(which, nth[same], which[first[order]], _cut_by(bucket[order], buckets))
+    return Hot(which, nth[same], which[first[order]], _cut_by(bucket[order], 2 * buckets))
 
 
 def _cut_by(bucket: np.ndarray, buckets: int) -> np.ndarray:
@@ -311,18 +313,31 @@ class Sent:
         return np.cumsum(self.size) - self.size
 
 
-MERGED = "bucket int, part long, docs binary, counts binary, offsets binary, text binary, blocks binary, sizes binary, same binary, own binary"
+MERGED = ("docs", "counts", "offsets", "text", "blocks", "sizes", "same", "own")
+FIRST = "block long, bucket int, part long, masks binary, " + ", ".join(f"{c} binary" for c in MERGED)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of a bucket and a group of blocks: equal ones once, with the least doc_id; and which each block's are."""
-    for (bucket, part), rows in _gathered(batches, ("bucket", "part")):
-        sent = Sent.read(rows)
-        start, size = sent.start, sent.size
-        same, first = tk.equal_classes(sent.data, start, size, sent.docs)
-        cells = [sent.docs[first].astype("<i8"), sent.counts[first].astype(np.uint8), sent.offsets[first].astype(np.uint8), sent.data[_ranges(start[first], size[first])]]
-        cells += [rows["block"].to_numpy().astype("<i8"), np.array(sent.n, "<i8"), same.astype("<i4"), sent.docs]
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["bucket", "part", "docs", "counts", "offsets", "text", "blocks", "sizes", "same", "own"])
+def _first(buckets: int):
+    """A bucket is judged; of a frequent one's group of blocks, equal segments are merged: which each block's are goes along."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, part), rows in _gathered(batches, ("bucket", "part")):
+            sent = Sent.read(rows)
+            if bucket < buckets:
+                masks = _masks(sent)
+                columns = {"block": rows["block"].combine_chunks(), "masks": pa.array(masks, pa.binary())}
+            else:
+                start, size = sent.start, sent.size
+                same, least = tk.equal_classes(sent.data, start, size, sent.docs)
+                cells = (sent.docs[least].astype("<i8"), sent.counts[least].astype(np.uint8), sent.offsets[least].astype(np.uint8), sent.data[_ranges(start[least], size[least])])
+                cells += (rows["block"].to_numpy().astype("<i8"), np.array(sent.n, "<i8"), same.astype("<i4"), sent.docs)
+                columns = {name: pa.array([cell.tobytes()], pa.binary()) for name, cell in zip(MERGED, cells)}
+            n = len(next(iter(columns.values())))
+            columns |= {"bucket": pa.array([bucket] * n, pa.int32()), "part": pa.array([part] * n, pa.int64())}
+            columns = {c: columns.get(c, pa.nulls(n, pa.int64() if c == "block" else pa.binary())) for c in ("block", "bucket", "part", "masks", *MERGED)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return first
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,17 +384,22 @@ def least_docs(docs: np.ndarray, counts: np.ndarray, offsets: np.ndarray, data:
     return windows[_ranges(at[same], counts)]
 
 
+def _masks(sent: Sent) -> list[bytes]:
+    """For each row, a 32-bit mask for each of its segments: its windows that start in a smaller document too."""
+    least = least_docs(sent.docs, sent.counts, sent.offsets, sent.data)
+    at = np.cumsum(sent.counts) - sent.counts
+    nth = np.arange(len(least)) - np.repeat(at, sent.counts)
+    bits = np.where(least < np.repeat(sent.docs, sent.counts), np.uint32(1) << nth.astype(np.uint32), np.uint32(0))
+    masks = np.bitwise_or.reduceat(bits, at).astype("<u4")
+    cuts = np.cumsum([0, *sent.n])
+    return [masks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each group and bucket, a 32-bit mask for each segment sent: its windows that start in a smaller document too."""
+    """The masks of each group of a frequent bucket."""
     for (bucket,), rows in _gathered(batches):
-        sent = Sent.read(rows)
-        least = least_docs(sent.docs, sent.counts, sent.offsets, sent.data)
-        at = np.cumsum(sent.counts) - sent.counts
-        nth = np.arange(len(least)) - np.repeat(at, sent.counts)
-        bits = np.where(least < np.repeat(sent.docs, sent.counts), np.uint32(1) << nth.astype(np.uint32), np.uint32(0))
-        masks = np.bitwise_or.reduceat(bits, at).astype("<u4")
-        cuts = np.cumsum([0, *sent.n])
-        yield pa.RecordBatch.from_arrays([rows["part"].combine_chunks(), pa.array([bucket] * len(sent.n), pa.int32()), pa.array([masks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["part", "bucket", "masks"])
+        masks = _masks(Sent.read(rows))
+        yield pa.RecordBatch.from_arrays([rows["part"].combine_chunks(), pa.array([bucket] * len(masks), pa.int32()), pa.array(masks, pa.binary())], ["part", "bucket", "masks"])
 
 
 def removed_bytes(block: Block, hot: Hot | None, masks: list[dict]) -> np.ndarray:
@@ -428,6 +448,7 @@ def _cut_texts(buckets: int):
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay)."""
+    bounded_batches(documents.sparkSession)
     spark = documents.sparkSession
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parallelism(spark), -(-total // BUCKET_BYTES))
@@ -442,15 +463,17 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         with scratch(spark):
             blocks = spark.table(name)
             grams = blocks.mapInArrow(_send_grams(buckets), "bucket int, block long, grams binary")
-            hot = written(dealt(grams, "bucket").mapInArrow(_find_hot, "block long, bucket int, bits binary"), "hot")
-            bitmaps = hot.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bitmaps"))
+            hot = written(dealt(grams, "bucket").mapInArrow(_find_hot, "block long, bucket int, bits binary, often binary"), "hot")
+            bitmaps = hot.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "often")).alias("bitmaps"))
             marked = blocks.join(bitmaps, "block", "left")
             sent = marked.mapInArrow(_send_segments(buckets), "bucket int, block long, docs binary, counts binary, offsets binary, text binary")
-            sent = sent.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
-            merged = written(dealt(sent, "bucket", "part").mapInArrow(_merge, MERGED), "merged")
+            group = F.when(F.col("bucket") >= buckets, F.pmod(F.xxhash64("block"), F.lit(groups))).otherwise(-1)
+            first = written(dealt(sent.withColumn("part", group), "bucket", "part").mapInArrow(_first(buckets), FIRST), "first")
+            merged = first.where("masks is null").drop("block", "masks")
             judged = dealt(merged.select("bucket", "part", "docs", "counts", "offsets", "text"), "bucket").mapInArrow(_judge, "part long, bucket int, masks binary")
             back = merged.select("bucket", "part", "docs", "blocks", "sizes", "same", "own").join(judged, ["bucket", "part"])
-            masks = written(back.mapInArrow(_spread, "block long, bucket int, masks binary"), "masks")
+            second = written(back.mapInArrow(_spread, "block long, bucket int, masks binary"), "masks")
+            masks = first.where("masks is not null").select("block", "bucket", "masks").unionAll(second)
             masks = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks"))
             out = marked.join(masks, "block", "left").mapInArrow(_cut_texts(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
             return kept(out, "repeats")

@@ -427,6 +427,69 @@ def test_perspectives_beyond_the_range_sample(spark, tmp_path):
     assert Counter(got) == Counter(want)
 
 
+def brute_perspectives(rows):
+    """Every dialogue for every participant, turn by turn."""
+    talks = {}
+    for conv, turn, role, text in rows:
+        talks.setdefault(conv, []).append((turn is not None, turn or 0, role or "unknown", text or ""))
+    safe = lambda t: t.replace("<|im_start|>", "<| im_start|>").replace("<|im_end|>", "<| im_end|>")
+    out = []
+    for conv, turns in talks.items():
+        turns.sort()
+        for person in {t[2] for t in turns}:
+            for at in range(0, len(turns), chat.PART):
+                part, text, mask, n = turns[at : at + chat.PART], [], [], 0
+                for _, _, role, said in part:
+                    head = "<|im_start|>assistant\n" if role == person else f"<|im_start|>user name={safe(role)}\n"
+                    start = sum(map(len, text)) + len(text) + len(head)
+                    text.append(head + safe(said) + "<|im_end|>")
+                    if role == person:
+                        n += 1
+                        mask.append(f"{start}:{start + len(safe(said)) + len('<|im_end|>')}")
+                out.append((conv, person, at // chat.PART, len(part), n, "\n".join(text), ",".join(mask)))
+    return sorted(out, key=repr)
+
+
+def test_perspectives_of_the_whole_table(spark):
+    table = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = [(None, None, None, None), (None, 1, "a", "é" * 200_000), (-1, 0, "<|im_end|>", "x"), (-1, 0, "<|im_end|>", "x"), (-1, None, "b", "")]
+    rows = [tuple(r) for r in table.collect()] + more
+    df = table.unionAll(spark.createDataFrame(more, table.schema)).withColumns({"place": table.turn * 0, "part": table.turn * 0, "slice": table.turn * 0})
+    names = ("conv_id", "participant", "part", "n_turns", "n_masked", "rendered", "mask")
+    assert collected(chat.rotate_perspectives(df), *names) == brute_perspectives(rows)
+
+
+CLASHES = ("bucket", "component_id", "component", "kept", "n_tokens", "cluster", "rep", "row", "bands", "key1", "own", "doc", "start", "piece", "n_items", "similarity", "key", "harmless", "spans", "tie", "block", "masks", "n_shingles", "n_bytes")
+
+
+def test_columns_of_any_name(spark):
+    """Extra columns, called as those of results and of tables on the way are, change no result and come back as they were."""
+    rows = [(i, t) for i, t in ROWS if i is not None][:16] + [(70, "pwd: kX93vQz7tLw2 and words"), (71, words(12, 22) + " tail")]
+    plain = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    wide = plain.selectExpr("*", *(f"concat('{c}', doc_id) as {c}" for c in CLASHES))
+    items = spark.createDataFrame([(1, words(12, 22))], "item_id long, text string")
+    crf = quality.Crf()
+    for op in (
+        neardup.near_duplicates,
+        lambda d: packing.pack_documents(packing.clustered_lengths(d, llm.BYTE_BPE), 18),
+        lambda d: tokens.read_tokens(tokens.write_tokens(d, llm.BYTE_BPE)),
+        lambda d: tokens.count_tokens(d, llm.WORD_BPE, 2048),
+        lambda d: quality.judge_quality(d, crf),
+        lambda d: decontaminate.judge_contamination(d, items),
+        secrets.scan_secrets,
+        repeats.remove_repeats,
+    ):
+        want, got = op(plain), op(wide)
+        assert want.columns == got.columns
+        assert sorted(map(repr, want.collect())) == sorted(map(repr, got.collect()))
+    for op in (neardup.drop_near_copies, lambda d: quality.keep_quality(d, crf), lambda d: decontaminate.drop_contaminated(d, items), secrets.redact_secrets):
+        out = op(wide)
+        assert out.columns == wide.columns
+        ids = {r.doc_id for r in op(plain).collect()}
+        assert {r.doc_id for r in out.collect()} == ids
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in CLASHES)
+
+
 # ---- quality ----
 
 
@@ -723,7 +786,7 @@ def test_repeats_of_pieces(spark, seed, monkeypatch):
 
 def test_repeats_over_many_blocks(spark, monkeypatch):
     """Blocks of a few documents, many buckets and groups, a passage in every document, and strings that a polynomial hash can't tell apart."""
-    for name, value in (("BLOCK_BYTES", 400), ("BUCKET_BYTES", 700)):
+    for name, value in (("BLOCK_BYTES", 400), ("BUCKET_BYTES", 700), ("OFTEN", 5)):
         monkeypatch.setattr(repeats, name, value)
     odd = "a"
     while len(odd) < 2048:
