@@ -9,7 +9,8 @@ HEAD code points) and prefix sums over partitions, so no task holds a large conv
 bounds are sampled, and planned twice they would differ.
 
 A null role is the participant "unknown"; a null text renders as empty; rows with a null conv_id belong to one conversation (null); null
-turns come first; repeated rows are rendered as often as they come. Other columns are not read. An empty table gives no rows.
+turns come first; repeated rows are rendered as often as they come. Texts of any length are rendered whole; of equal places, role and text decide.
+Other columns are not read, so they may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations

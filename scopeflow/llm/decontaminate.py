@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopeflow.llm import textkit as tk
-from scopeflow.llm.storage import unused, written
+from scopeflow.llm.storage import bounded_batches, unused, written
 
 SHINGLE, THRESHOLD = 5, 0.75
 BITS, BLOCKS, RADIUS = 128, 4, 36
@@ -205,7 +205,7 @@ def _prefixes(items: DataFrame) -> DataFrame:
                 n = len(own)
                 yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), pa.array([len(h)] * n, pa.int64()), pa.array(own.view(np.int64)), pa.array(times, pa.int64())], ["item_id", "n", "shingle", "times"])
 
-    rows = items.mapInArrow(spread, "item_id long, n long, shingle long, times long")
+    rows = items.mapInArrow(tk.tidied(spread), "item_id long, n long, shingle long, times long")
     rows = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("m")), "shingle")
     # An item is one row of the benchmark, so its shingles fit a task.
     own = rows.groupBy("item_id", "n").agg(F.sort_array(F.collect_list(F.struct("m", "shingle", "times"))).alias("own"))
@@ -215,7 +215,7 @@ def _prefixes(items: DataFrame) -> DataFrame:
 
 def _by_join(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(key, n_items, item_id, similarity) of the texts that hold an item, by a 128-bit key of the text."""
-    named = documents.mapInArrow(_with_key, "key binary, text string")
+    named = documents.mapInArrow(tk.tidied(_with_key), "key binary, text string")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +224,7 @@ def _by_join(documents: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.binary()), pa.array(own.view(np.int64))], ["key", "shingle"])
 
     prefixes = written(_prefixes(items), "prefixes")
-    pairs = written(named.mapInArrow(spread, "key binary, shingle long").join(prefixes, "shingle").select("key", "item_id").distinct(), "pairs")
+    pairs = written(named.mapInArrow(tk.tidied(spread), "key binary, shingle long").join(prefixes, "shingle").select("key", "item_id").distinct(), "pairs")
     texts = named.join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     both = pairs.join(texts, "key").join(items.withColumnRenamed("text", "item"), "item_id")
 
@@ -236,7 +236,7 @@ def _by_join(documents: DataFrame, items: DataFrame) -> DataFrame:
             key, item, value = list(zip(*rows)) or ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(item, pa.int64()), pa.array(value, pa.float64())], ["key", "item_id", "similarity"])
 
-    found = both.mapInArrow(judged, "key binary, item_id long, similarity double").groupBy("key", "item_id").agg(F.max("similarity").alias("similarity"))
+    found = both.mapInArrow(tk.tidied(judged), "key binary, item_id long, similarity double").groupBy("key", "item_id").agg(F.max("similarity").alias("similarity"))
     best = F.min(F.struct((-F.col("similarity")).alias("far"), "item_id")).alias("best")
     return found.groupBy("key").agg(F.count("*").alias("n_items"), best).select("key", "n_items", F.col("best.item_id").alias("item_id"), (-F.col("best.far")).alias("similarity"))
 
@@ -255,6 +255,7 @@ STATE = ("n_items", "item_id", "similarity")
 
 def _marked(documents: DataFrame, benchmark: DataFrame, names: tuple[str, str, str]) -> DataFrame:
     """All rows and columns, and for each row how many items it contains, the most similar one and that similarity (else 0, null, 0)."""
+    bounded_batches(documents.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     spark = documents.sparkSession
 
@@ -262,7 +263,7 @@ def _marked(documents: DataFrame, benchmark: DataFrame, names: tuple[str, str, s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(h) for h in shingle_hashes(batch.column("text").to_pylist())], pa.int64())], ["n"])
 
-    total = items.select("text").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    total = items.select("text").mapInArrow(tk.tidied(sizes), "n long").agg(F.sum("n")).first()[0] or 0
     if total > INDEX_SHINGLES:
         key = unused(documents.columns, "key")
         schema = documents.select("*", F.lit(b"").alias(key)).schema
@@ -272,7 +273,7 @@ def _marked(documents: DataFrame, benchmark: DataFrame, names: tuple[str, str, s
                 yield pa.RecordBatch.from_arrays([*batch.columns, _keys(batch)], [*batch.schema.names, key])
 
         found = written(_by_join(documents.select("text"), items), "contaminated").toDF(key, *names)
-        out = documents.mapInArrow(keyed, schema).join(found, key, "left").drop(key)
+        out = documents.mapInArrow(tk.tidied(keyed), schema).join(found, key, "left").drop(key)
         return out.withColumns({names[0]: F.coalesce(names[0], F.lit(0).cast("long")), names[2]: F.coalesce(names[2], F.lit(0.0))})
     index = spark.sparkContext.broadcast(Index.build(sorted((r.item_id, r.text) for r in items.collect())))
     schema = documents.select("*", F.lit(0).cast("long").alias(names[0]), F.lit(None).cast("long").alias(names[1]), F.lit(0.0).alias(names[2])).schema
@@ -286,7 +287,7 @@ def _marked(documents: DataFrame, benchmark: DataFrame, names: tuple[str, str, s
             state = (pa.array(n, pa.int64()), pa.array(item, pa.int64()), pa.array(similarity, pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *state], names=[*batch.schema.names, *names])
 
-    return documents.mapInArrow(mark, schema)
+    return documents.mapInArrow(tk.tidied(mark), schema)
 
 
 def mark_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 Base rules count words, symbols, repeated lines and repeated word windows. Documents that pass them are judged by a linear-chain
 conditional random field over their lines: Viterbi decoding marks each line content or boilerplate, and the share of words that
 stand in content lines decides retention. Null text counts as empty; an empty text has one empty line, no words, and fails the
-base rules. Repeated rows are judged alike. Input columns other than the id and text are not read.
+base rules. Long texts are judged whole, one at a time; of labellings that score the same, content wins. Repeated rows are judged alike; an
+empty table gives an empty result, and without labels every line counts as content. Only the id and text are read, so other
+columns may have any names; ``keep_quality`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopeflow.llm import textkit as tk
+from scopeflow.llm.storage import bounded_batches
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("bias", "pipes", "upper", "symbols", "shouts", "repeats", "digits")
@@ -211,6 +214,7 @@ def train_crf(documents: DataFrame, labels: DataFrame, per_class: int = 400, max
     lines and ``max_bytes`` bytes each: these three bounds limit what reaches the driver. Lines take their document's label.
     Without labelled documents of both kinds, every line counts as content.
     """
+    bounded_batches(documents.sparkSession)
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     hashed = marked.withColumn("h", F.xxhash64("doc_id"))
     # Three times as many ids as are used, for some have no document in bounds.
@@ -227,7 +231,7 @@ def train_crf(documents: DataFrame, labels: DataFrame, per_class: int = 400, max
                 cells = [got.features[i:j].astype(np.float32).tobytes() for i, j in zip(got.lines.first[:-1], got.lines.first[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality").cast(pa.int32()), part.column("h"), pa.array(np.diff(got.lines.first), pa.int32()), pa.array(cells, pa.binary())], ["doc_id", "quality", "h", "n_lines", "features"])
 
-    rows = texts.mapInArrow(lines, schema).collect()
+    rows = texts.mapInArrow(tk.tidied(lines), schema).collect()
     rows = [r for q in (0, 1) for r in sorted((r for r in rows if r.quality == q), key=lambda r: (r.h, r.doc_id))[:per_class]]
     if not rows:
         return Crf()
@@ -255,7 +259,8 @@ def judge_quality(documents: DataFrame, crf: Crf, min_share: float = 0.5) -> Dat
                 columns += [pa.array(failed), pa.array(~failed & (share >= min_share)), pa.array(share)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
 
-    return documents.select("doc_id", "text").mapInArrow(judged, RESULT)
+    bounded_batches(documents.sparkSession)
+    return documents.select("doc_id", "text").mapInArrow(tk.tidied(judged), RESULT)
 
 
 def keep_quality(documents: DataFrame, crf: Crf, min_share: float = 0.5) -> DataFrame:
@@ -273,4 +278,5 @@ def keep_quality(documents: DataFrame, crf: Crf, min_share: float = 0.5) -> Data
                 failed = (n < 50) | (100 * got.base["n_repeat_words"] > 50 * n)
                 yield batch.slice(a, b - a).filter(pa.array(~failed & (share >= min_share)))
 
-    return documents.mapInArrow(kept, schema)
+    bounded_batches(documents.sparkSession)
+    return documents.mapInArrow(tk.tidied(kept), schema)

@@ -128,7 +128,7 @@ def _blocks(documents: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "block long, ids binary, null_ids binary, ends binary, data binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidied(packed), "block long, ids binary, null_ids binary, ends binary, data binary")
 
 
 @dataclass
@@ -462,20 +462,20 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     try:
         with scratch(spark):
             blocks = spark.table(name)
-            grams = blocks.mapInArrow(_send_grams(buckets), "bucket int, block long, grams binary")
-            hot = written(dealt(grams, "bucket").mapInArrow(_find_hot, "block long, bucket int, bits binary, often binary"), "hot")
+            grams = blocks.mapInArrow(tk.tidied(_send_grams(buckets)), "bucket int, block long, grams binary")
+            hot = written(dealt(grams, "bucket").mapInArrow(tk.tidied(_find_hot), "block long, bucket int, bits binary, often binary"), "hot")
             bitmaps = hot.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "often")).alias("bitmaps"))
             marked = blocks.join(bitmaps, "block", "left")
-            sent = marked.mapInArrow(_send_segments(buckets), "bucket int, block long, docs binary, counts binary, offsets binary, text binary")
+            sent = marked.mapInArrow(tk.tidied(_send_segments(buckets)), "bucket int, block long, docs binary, counts binary, offsets binary, text binary")
             group = F.when(F.col("bucket") >= buckets, F.pmod(F.xxhash64("block"), F.lit(groups))).otherwise(-1)
-            first = written(dealt(sent.withColumn("part", group), "bucket", "part").mapInArrow(_first(buckets), FIRST), "first")
+            first = written(dealt(sent.withColumn("part", group), "bucket", "part").mapInArrow(tk.tidied(_first(buckets)), FIRST), "first")
             merged = first.where("masks is null").drop("block", "masks")
-            judged = dealt(merged.select("bucket", "part", "docs", "counts", "offsets", "text"), "bucket").mapInArrow(_judge, "part long, bucket int, masks binary")
+            judged = dealt(merged.select("bucket", "part", "docs", "counts", "offsets", "text"), "bucket").mapInArrow(tk.tidied(_judge), "part long, bucket int, masks binary")
             back = merged.select("bucket", "part", "docs", "blocks", "sizes", "same", "own").join(judged, ["bucket", "part"])
-            second = written(back.mapInArrow(_spread, "block long, bucket int, masks binary"), "masks")
+            second = written(back.mapInArrow(tk.tidied(_spread), "block long, bucket int, masks binary"), "masks")
             masks = first.where("masks is not null").select("block", "bucket", "masks").unionAll(second)
             masks = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks"))
-            out = marked.join(masks, "block", "left").mapInArrow(_cut_texts(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            out = marked.join(masks, "block", "left").mapInArrow(tk.tidied(_cut_texts(buckets)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
             return kept(out, "repeats")
     finally:
         spark.sql(f"drop table if exists {name}")

@@ -6,7 +6,8 @@ Every function works on the UTF-8 bytes of a whole batch at once. A word is a ma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -25,7 +26,22 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: At most so many bytes of text are turned into arrays at a time (a longer document makes a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and at its end what the allocators hold goes back to the system: a worker waits for its next task with little memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return whole
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 
 from scopeflow.llm import pieces
 from scopeflow.llm import textkit as tk
-from scopeflow.llm.storage import parallelism, written
+from scopeflow.llm.storage import bounded_batches, parallelism, written
 
 #: Entries of a generation of a worker's memory of pre-tokens.
-MEMORY = 400_000
+MEMORY = 200_000
+#: Text whose distinct pre-tokens are looked up at a time.
+LOOK_UP_BYTES = 4 << 20
 
 
 class Memory(dict):
@@ -83,7 +86,7 @@ class PieceEncoder:
         self.merge = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.known = Memory(lambda piece: np.array([t.id for t in self.merge(stand_ins(piece))], self.kind))
+        self.known = Memory(lambda piece: array(self.kind.char, [t.id for t in self.merge(stand_ins(piece))]).tobytes())
         self.counts = Memory(lambda piece: len(self.merge(stand_ins(piece))))
 
     def whole(self, text: str) -> list[int]:
@@ -91,11 +94,11 @@ class PieceEncoder:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids of these rows, number of ids of each) of consecutive rows."""
-        for a, b, data, offsets in tk.slices(column):
+        for a, b, data, offsets in tk.slices(column, LOOK_UP_BYTES):
             others, rows, start, end = _cut(data, offsets, True)
             values, place = pieces.look_up(data, start, end, self.known.many)
-            sizes = np.array([len(v) for v in values], np.int64)
-            flat = np.concatenate(values) if values else np.zeros(0, self.kind)
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+            flat = np.frombuffer(b"".join(values), self.kind)
             first = np.cumsum(sizes) - sizes
             n = np.bincount(rows, sizes[place], minlength=b - a).astype(np.int64) if len(rows) else np.zeros(b - a, np.int64)
             ids = flat[_ranges(first[place], sizes[place])]
@@ -110,7 +113,7 @@ class PieceEncoder:
     def count(self, column: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
         out = [np.zeros(0, np.int64)]
-        for a, b, data, offsets in tk.slices(column):
+        for a, b, data, offsets in tk.slices(column, LOOK_UP_BYTES):
             others, rows, start, end = _cut(data, offsets, True)
             sizes, place = pieces.look_up(data, start, end, self.counts.many)
             out.append(_sums(rows, sizes, place, b - a))
@@ -185,7 +188,7 @@ class WordCounter:
         texts = tk.text_column(column)
         low = pa.array([t.lower() for t in texts.to_pylist()], pa.large_string())
         out = [np.zeros(0, np.int64)]
-        for a, b, data, offsets in tk.slices(low):
+        for a, b, data, offsets in tk.slices(low, LOOK_UP_BYTES):
             others, rows, start, end = _cut(data, offsets, False)
             sizes, place = pieces.look_up(data, start, end, self.known.many)
             out.append(_sums(rows, sizes, place, b - a))
@@ -201,17 +204,18 @@ def counter_of(path: str, whole: frozenset[str]) -> WordCounter:
 
 def count_tokens(documents: DataFrame, path: str, limit: int) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document. The vocabulary's whole tokens are broadcast: no more than it has entries."""
+    bounded_batches(documents.sparkSession)
     whole = documents.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path, whole.value)
         for batch in batches:
-            for a, b, _, offsets in tk.slices(batch.column("text")):
+            for a, b, _, offsets in tk.slices(batch.column("text"), LOOK_UP_BYTES):
                 part = batch.slice(a, b - a)
                 n = counter.count(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return documents.select("doc_id", "text").mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return documents.select("doc_id", "text").mapInArrow(tk.tidied(counted), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 # ---- Elias-Fano boundaries and the shard format --------------------------------------------------------------------------------
@@ -324,6 +328,7 @@ def write_tokens(documents: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     (part, seq, n_docs, n_tokens, shard). Shards travel as binary cells of Parquet files, so Spark's committer and any store it knows
     hold them, and a task that runs again replaces its own output only.
     """
+    bounded_batches(documents.sparkSession)
     n = parallelism(documents.sparkSession)
     ordered = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
@@ -361,7 +366,7 @@ def write_tokens(documents: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         if own:
             yield flush()
 
-    return written(ordered.mapInArrow(shards, "part int, seq int, n_docs long, n_tokens long, shard binary"), "tokens")
+    return written(ordered.mapInArrow(tk.tidied(shards), "part int, seq int, n_docs long, n_tokens long, shard binary"), "tokens")
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
@@ -384,5 +389,5 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 own = pa.array([shard.doc_id(i) for i in range(n)], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), own, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("part", "seq", "shard").mapInArrow(read, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "seq", "shard").mapInArrow(tk.tidied(read), "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")

@@ -3,7 +3,8 @@
 ``judge_urls`` adds host, path, rule and verdict to every row. A rule fits its host and all subdomains if the path starts with
 the rule's path; of all that fit, the one with most host labels and then the longest path wins, allow before block on a tie of
 the same text. Null url or one without ``://``: empty host and path, no rule, the default verdict. Repeated rows are judged
-alike, rows keep all their columns (an input column named like a result column is replaced), an empty table stays empty.
+alike, rows keep all their columns (an input column named like a result column is replaced), long urls are judged whole, an empty table
+stays empty.
 """
 
 from __future__ import annotations
