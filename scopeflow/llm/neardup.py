@@ -18,7 +18,7 @@ members, and no link between components is missed. Buckets that hold more than a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from scopeflow.llm import textkit as tk
 from scopeflow.llm.graph import components
-from scopeflow.llm.storage import kept, scratch, unused, written
+from scopeflow.llm.storage import bounded_batches, kept, scratch, unused, written
 
 SHINGLE = 5
 #: At a similarity of 0.75, a band of 5 agrees with chance 0.237; that none of 48 does, 2.3e-6.
@@ -35,6 +35,7 @@ BANDS, BAND_ROWS = 48, 5
 UNIVERSE = 1 << 22
 #: Rows of a bucket beyond which it is split, and the most buckets that are.
 HOT, HOT_BUCKETS = 256, 100_000
+MARKS = 1 << 20  # hash values by which rows are sifted before they are shuffled
 _PI: dict[int, np.ndarray] = {}
 
 
@@ -80,10 +81,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sketches(documents: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, and its band keys; and the columns ``also`` as they are."""
+def sketches(documents: DataFrame, also: tuple[str, ...] = (), count: Callable[[], Callable[[pa.Array], np.ndarray]] | None = None) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit key of the set, and its band keys; and the columns ``also`` as they are. ``count`` makes, on a worker, a function
+    from texts to a number each, which is added as n_tokens, so that texts are read once."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = count() if count else None
         for batch in batches:
             n = batch.num_rows
             sizes, key1, key2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -96,10 +99,12 @@ def sketches(documents: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
                     bands.append(band_keys(signature(own)))
                     lengths[i + 1] = BANDS
             cells = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(_signed(np.concatenate(bands))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(_signed(key1)), pa.array(_signed(key2)), cells, *(batch.column(c) for c in also)], ["doc_id", "n_shingles", "key1", "key2", "bands", *also])
+            more = {"n_tokens": pa.array(counted(batch.column("text")))} if counted else {}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(_signed(key1)), pa.array(_signed(key2)), cells, *more.values(), *(batch.column(c) for c in also)], ["doc_id", "n_shingles", "key1", "key2", "bands", *more, *also])
 
-    schema = ", ".join(["doc_id long, n_shingles long, key1 long, key2 long, bands array<long>", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in also)])
-    return documents.select("doc_id", "text", *(c for c in also if c != "text")).mapInArrow(sketch, schema)
+    schema = ", ".join(["doc_id long, n_shingles long, key1 long, key2 long, bands array<long>", *(["n_tokens long"] if count else []), *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in also)])
+    bounded_batches(documents.sparkSession)
+    return documents.select("doc_id", "text", *(c for c in also if c != "text")).mapInArrow(tk.tidied(sketch), schema)
 
 
 def full_sets(documents: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def full_sets(documents: DataFrame) -> DataFrame:
             if rows:
                 yield _set_batch(ids, rows, cells)
 
-    return documents.select("doc_id", "text").mapInArrow(sets, "doc_id long, own array<long>")
+    return documents.select("doc_id", "text").mapInArrow(tk.tidied(sets), "doc_id long, own array<long>")
 
 
 def _set_batch(ids: pa.Array, rows: list[int], cells: list[np.ndarray]) -> pa.RecordBatch:
@@ -200,6 +205,15 @@ def _of_one_document(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, Da
     return ids.select("doc_id"), several.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` that have (left_semi) or lack (left_anti) one of ``ids`` under ``key``. Only rows whose hash modulo MARKS some id has are shuffled: the marks
+    are broadcast, of which there are MARKS at most."""
+    name, mark = unused(rows.columns, "mark"), F.pmod(F.xxhash64(key), F.lit(MARKS))
+    marks = F.broadcast(ids.select(mark.alias(name)).distinct())
+    maybe = rows.join(marks, mark == F.col(name), "left_semi").join(ids, key, how)
+    return maybe if how == "left_semi" else rows.join(marks, mark == F.col(name), "left_anti").unionByName(maybe)
+
+
 def with_components(docs: DataFrame, documents: DataFrame) -> DataFrame:
     """The (written) sketches of ``documents`` with component_id instead of the bands."""
     classes = docs.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
@@ -208,7 +222,7 @@ def with_components(docs: DataFrame, documents: DataFrame) -> DataFrame:
 
     rows = classes.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("n"))
     members = written(_split(rows, BANDS * classes.count()), "members")
-    texts = documents.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = _of_ids(documents.select("doc_id", "text"), members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     if repeated.isEmpty():
         sets = full_sets(texts)
     else:  # a node that has several texts has several sets, each once
@@ -263,5 +277,7 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
         ids = rows.select(F.col(row).alias("doc_id"), "text", F.col("doc_id").alias("own_id"), F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias("tie"))
         found = with_components(written(sketches(ids, ("own_id", "tie")), "sketches"), ids)
         first = F.min(F.struct(F.col("own_id").isNull().alias("absent"), "own_id", "tie", F.col("doc_id").alias("row")))
-        stay = kept(found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row)), "stay")
-    return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
+        found = written(found.select("doc_id", "component_id", "own_id", "tie"), "found")
+        stay = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("doc_id"))
+        gone = kept(found.select("doc_id").join(stay, "doc_id", "left_anti").select(F.col("doc_id").alias(row)), "gone")
+    return _of_ids(rows, gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

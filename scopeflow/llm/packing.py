@@ -15,8 +15,6 @@ piece, source and cluster; very long texts become many pieces; an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,19 +95,6 @@ def pack(pieces: list[tuple[int, object, object]], capacity: int) -> list[tuple[
     return [bins.place(length, bit("s", source), bit("c", cluster)) for length, source, cluster in pieces]
 
 
-def token_lengths(documents: DataFrame, path: str, columns: list[str], length_col: str = "n_tokens") -> DataFrame:
-    """The given columns and the number of tokens of each text, without the text."""
-    out = documents.select(*columns, "text")
-    schema = out.select(*columns, F.lit(0).cast("long").alias(length_col)).schema
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(encoder.count(batch.column("text")))], names=[*columns, length_col])
-
-    return out.mapInArrow(count, schema)
-
-
 def clustered_lengths(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, source, cluster, n_tokens of each row.
 
@@ -120,9 +105,8 @@ def clustered_lengths(documents: DataFrame, path: str) -> DataFrame:
     stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     named = rows.select(F.col("doc_id").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), "text", "source")
     named = named.withColumn("copy", F.when(F.coalesce("text", F.lit("")) != "", F.md5("text")))
-    columns = ["doc_id", "n_shingles", "key1", "key2", "bands", "own_id", "source", "copy"]
     with scratch(documents.sparkSession):
-        docs = written(token_lengths(neardup.sketches(named, ("own_id", "source", "copy", "text")), path, columns), "sketches")
+        docs = written(neardup.sketches(named, ("own_id", "source", "copy"), lambda: encoder_of(path).count), "sketches")
         cluster = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.col("copy"))
         return kept(neardup.with_components(docs, named).select(F.col("own_id").alias("doc_id"), "source", cluster.alias("cluster"), "n_tokens"), "lengths")
 

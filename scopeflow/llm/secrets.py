@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scopeflow.llm import pieces
 from scopeflow.llm import textkit as tk
-from scopeflow.llm.storage import kept, scratch, unused, written
+from scopeflow.llm.storage import bounded_batches, kept, scratch, unused, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -219,14 +219,21 @@ def corpus_words(documents: DataFrame) -> DataFrame:
                 df = np.bincount(pairs % max(1, len(found)), minlength=len(found))
                 yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in found], pa.string()), pa.array(df, pa.int64())], ["word", "df"])
 
-    return documents.select("text").mapInArrow(counted, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    return documents.select("text").mapInArrow(tk.tidied(counted), "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
 
 
-def top_words(words: DataFrame, top: int | None = None) -> dict[str, int]:
-    """The first words by document frequency, and the list of common ones, with their ranks."""
-    rows = words.orderBy(F.desc("df"), "word").limit(top or TOP).collect()
-    own = {r.word: i + 1 for i, r in enumerate(rows)}
-    return own | {w: min(k, own.get(w, k)) for w, k in RANK.items()}
+def _ranks(words: DataFrame) -> DataFrame:
+    """(df, rank): how many words stand in so many rows or more: the last rank of that frequency. Frequencies that differ are few, as their sum is no
+    more than that over all words."""
+    below = Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, 0)
+    return words.groupBy("df").agg(F.count("*").alias("n")).select("df", F.sum("n").over(below).alias("rank"))
+
+
+def top_words(words: DataFrame) -> dict[str, int]:
+    """The words of the highest document frequencies with their ranks: TOP at most, and all of a frequency or none."""
+    least = _ranks(words).where(F.col("rank") <= TOP).agg(F.min("df")).first()[0]
+    rows = [] if least is None else words.where(F.col("df") >= least).collect()
+    return {r.word: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (-r.df, r.word)))}
 
 
 def _judge(ranks: Mapping[str, int], rest: int | None, min_cost: float) -> Callable[[str], bool | None]:
@@ -252,9 +259,7 @@ def _harmless(values: DataFrame, words: DataFrame, ranks: Mapping[str, int], min
                 own = [t for t in texts if t not in ranks.value and all(map(_letter, t))]
                 yield pa.RecordBatch.from_arrays([pa.array([value] * len(own), pa.string()), pa.array(own, pa.string())], ["value", "word"])
 
-    # Frequencies that differ are few: the sum over them is no more than that over all words.
-    steps = words.groupBy("df").agg(F.count("*").alias("n")).select("df", F.sum("n").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, 0)).alias("rank"))
-    named = values.mapInArrow(spelled, "value string, word string").join(words, "word").join(steps, "df")
+    named = values.mapInArrow(tk.tidied(spelled), "value string, word string").join(words, "word").join(_ranks(words), "df")
     named = named.groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +268,7 @@ def _harmless(values: DataFrame, words: DataFrame, ranks: Mapping[str, int], min
             cheap = [v for v, own in rows if guess_cost(v, {**ranks.value, **{w["word"]: w["rank"] for w in own}}, min_cost) < min_cost]
             yield pa.RecordBatch.from_arrays([pa.array(cheap, pa.string())], ["value"])
 
-    return named.mapInArrow(settled, "value string")
+    return named.mapInArrow(tk.tidied(settled), "value string")
 
 
 def _each(documents: DataFrame, words: DataFrame, finish: Callable, schema: str, min_cost: float) -> DataFrame:
@@ -271,9 +276,11 @@ def _each(documents: DataFrame, words: DataFrame, finish: Callable, schema: str,
 
     Rows with an open value wait for the join; all others are finished in their first scan.
     """
+    bounded_batches(documents.sparkSession)
     spark = documents.sparkSession
-    ranks = spark.sparkContext.broadcast(top_words(words))
-    rest = TOP + 1 if words.count() > TOP else None
+    top = top_words(words)
+    rest = len(top) + 1 if words.count() > len(top) else None
+    ranks = spark.sparkContext.broadcast(top | {w: min(k, top.get(w, k)) for w, k in RANK.items()})
     row, harmless = unused(documents.columns, "row"), unused(documents.columns, "harmless")
 
     def finds(batch: pa.RecordBatch, judge: Callable[[str], bool | None]) -> list[list]:
@@ -302,16 +309,16 @@ def _each(documents: DataFrame, words: DataFrame, finish: Callable, schema: str,
             got = [[f for f in found if f[3] not in skip] for found, skip in zip(finds(batch, judge), own)]
             yield finish(batch.drop_columns([harmless]), got)
 
-    done = documents.mapInArrow(direct, schema)
+    done = documents.mapInArrow(tk.tidied(direct), schema)
     if rest is None:
         return done
-    waiting = documents.mapInArrow(opened, documents.select("*", F.array(F.lit("")).alias(harmless)).schema)
+    waiting = documents.mapInArrow(tk.tidied(opened), documents.select("*", F.array(F.lit("")).alias(harmless)).schema)
     waiting = written(waiting.withColumn(row, F.monotonically_increasing_id()), "waiting")
     values = waiting.select(row, F.explode(harmless).alias("value"))
     cheap = written(_harmless(values.select("value").distinct(), words, ranks, min_cost), "harmless")
     own = values.join(cheap, "value").groupBy(row).agg(F.collect_list("value").alias(harmless))
     last = waiting.drop(harmless).join(own, row, "left").drop(row)
-    return done.unionAll(last.mapInArrow(after, schema))
+    return done.unionAll(last.mapInArrow(tk.tidied(after), schema))
 
 
 def spans_text(spans: list[tuple]) -> str:

@@ -27,9 +27,9 @@ from scopeflow.llm import textkit as tk
 from scopeflow.llm.storage import bounded_batches, parallelism, written
 
 #: Entries of a generation of a worker's memory of pre-tokens.
-MEMORY = 200_000
+MEMORY = 150_000
 #: Text whose distinct pre-tokens are looked up at a time.
-LOOK_UP_BYTES = 4 << 20
+LOOK_UP_BYTES = 2 << 20
 
 
 class Memory(dict):
