@@ -12,13 +12,18 @@ from scopeflow.operators.reach import joined
 from scopeflow.settings import TIER_HIGH
 
 
+MOST_LABELS = 1000  # scenarios that are compared at once
+
+
 def fates(estate, chosen: DataFrame) -> DataFrame:
     """(label, id, stays, fed, tokenized) for each labelled set of ``chosen`` (label, id) and each system in scope."""
     facts = estate.facts.where("in_scope").select("id", "origin_count", "is_origin")
     picked = chosen.select("label", "id").distinct()
     hit = estate.above.join(picked.withColumnRenamed("id", "origin"), "origin").groupBy("label", "id").agg(F.count("*").alias("gone"))
-    labels = picked.select("label").distinct()
-    rows = labels.crossJoin(facts)  # labels are a handful of scenarios
+    labels = [r.label for r in picked.select("label").distinct().limit(MOST_LABELS + 1).collect()]
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} scenarios at once")
+    rows = facts.withColumn("label", F.explode(F.array(*map(F.lit, labels)).cast("array<string>")))
     rows = rows.join(hit, ["label", "id"], "left").join(picked.withColumn("tokenized", F.lit(True)), ["label", "id"], "left").fillna(0, ["gone"]).fillna(False, ["tokenized"])
     stays = F.col("tokenized") | (F.col("gone") < F.col("origin_count"))
     return rows.select("label", "id", stays.alias("stays"), (F.col("gone") > 0).alias("fed"), "tokenized")

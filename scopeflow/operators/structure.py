@@ -38,10 +38,13 @@ def cycles(estate) -> DataFrame:
 
 def concentration(estate) -> DataFrame:
     """(n, gini, hhi, top5_share) of downstream reach within scope."""
-    rows = estate.facts.where("in_scope").select("id", "reach")
-    w = Window.orderBy("reach", "id")
-    r = rows.select("reach", F.row_number().over(w).alias("i"), F.row_number().over(Window.orderBy(F.desc("reach"), "id")).alias("from_top"))
-    a = r.agg(F.count("*").alias("n"), F.sum("reach").alias("total"), F.sum(F.col("i") * F.col("reach")).alias("weighted"), F.sum(F.col("reach").cast("double") * F.col("reach")).alias("squares"), F.sum(F.when(F.col("from_top") <= 5, F.col("reach")).otherwise(0)).alias("top"))
+    rows = estate.facts.where("in_scope").select("reach")
+    # Systems of one reach hold consecutive ranks, so a row for each reach is enough; values that differ are few, as their sum is no more than all reach.
+    h = rows.groupBy("reach").agg(F.count("*").alias("c"))
+    h = h.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("reach").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = F.col("c") * F.col("before") + F.expr("c * (c + 1) div 2")
+    a = h.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.col("c") * F.col("reach")).alias("total"), F.sum(ranks * F.col("reach")).alias("weighted"), F.sum(F.col("c") * F.col("reach").cast("double") * F.col("reach")).alias("squares"))
+    a = a.crossJoin(F.broadcast(rows.orderBy(F.desc("reach")).limit(5).agg(F.sum("reach").alias("top"))))  # one row each
     n, total = F.col("n"), F.col("total")
     return a.select(
         "n",

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN = threading.local()
+_LOCAL: dict[str, str] = {}  # the folder of each application that has none to share
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -21,8 +22,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"spark.checkpoint.dir is to name a folder that all of {master} share")
-        base = "file://" + tempfile.mkdtemp(prefix="scopeflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="scopeflow-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/scopeflow-{label}-{uuid.uuid4().hex}"
 
 

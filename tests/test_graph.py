@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scopeflow.operators import impact as im
+from scopeflow.operators import narrate as na
 from scopeflow.operators import planner as pl
 from scopeflow.operators import reach as rc
 from scopeflow.operators import rollup as ru
@@ -123,6 +124,23 @@ def test_plans_against_all_sets(seed):
         assert got >= curve[min(k, len(curve) - 1)]
 
 
+def test_cuts_count_all_sources(spark):
+    """Of many sources, also those far down the list hold a target."""
+    edges = [(f"s{i:04d}", "t") for i in range(300)] + [("t", "u"), ("s0000", "u"), ("s0000", "s0000")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    sources = spark.createDataFrame([(f"s{i:04d}",) for i in range(300)] + [("alone",)], "id string")
+    targets = spark.createDataFrame([("t",), ("u",), ("s0001",)], "id string")
+    assert {r.target: r.cut_size for r in rc.min_cuts(df, sources, targets).collect()} == {"t": 300, "u": 2}
+
+
+def test_cliff_and_concentration(spark):
+    curve = lambda *p: spark.createDataFrame(list(p), "k long, fully_descoped long")
+    assert tuple(na.curve_cliff(curve((6, 9), (0, 0), (4, 2), (2, 0), (8, 16))).first()) == (4, 2, 6, 9, 7, 16)
+    assert na.curve_cliff(curve((0, 3), (2, 3), (4, 1))).count() == na.curve_cliff(curve((0, 3))).count() == na.curve_cliff(curve()).count() == 0
+    e = estate(spark, [("a", "b"), ("b", "c"), ("a", "d")], carries={"a"})
+    assert tuple(st.concentration(e).first()) == (4, round(2 * (3 * 1 + 4 * 3) / (4 * 4) - 5 / 4, 3), round(10 / 16, 4), 100.0)
+
+
 @pytest.fixture(scope="module")
 def star(spark):
     return Estate.of_star(spark, "/root/testdata/sf0.01")

@@ -1,9 +1,11 @@
 import os
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from scopeflow import storage
 from scopeflow.operators import impact as im
 from scopeflow.operators import planner as pl
 from scopeflow.operators import rollup as ru
@@ -61,6 +63,33 @@ def test_estate_of_csv(estate):
     assert {r.role: r.masked_cells for r in estate.quality.collect()} == {"DS1": 0, "DS4": 0, "DS5": 0, "DS6": 1}
 
 
+def test_edge_direction_is_a_setting(spark, tmp_path):
+    """Recorded flows turn round; inferred ones don't."""
+    files = {"DS1_flows.csv": EDGES, "DS4_inventory.csv": INVENTORY, "DS6_logs.csv": LOGS}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.scopeflow.data_flow_edges", "false")
+    try:
+        e = Estate.of_csv(spark, {name: str(tmp_path / name) for name in files})
+        got = sorted((r.src, r.dst) for r in e.edges.collect())
+    finally:
+        spark.conf.unset("spark.scopeflow.data_flow_edges")
+    assert got == [("AB1", "CD2"), ("AB1", "CD2"), ("CD2", "EF3"), ("EF3", "AB1")] and not e.settings.data_flow_edges
+
+
+def test_shared_folder(spark):
+    """Tables of a scope go with it, results stay; without a shared folder, only a local master may run."""
+    with storage.scratch(spark):
+        one, path = storage._write(spark.range(3), "one", storage._scopes()[-1])
+        two = storage.kept(spark.range(4), "two")
+        assert one.count() == 3 and Path(path.removeprefix("file://")).exists()
+    assert two.count() == 4 and not Path(path.removeprefix("file://")).exists()
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    with pytest.raises(ValueError):
+        storage.shared_dir(session("spark://cluster:7077"), "x")
+    assert storage.shared_dir(session("local[2]"), "x").rpartition("/")[0] == storage.shared_dir(session("local[2]"), "y").rpartition("/")[0]
+
+
 def test_roles():
     assert roles.role_by_header([" Parent App ID", "CHILD APP ID "]) == "DS1"
     assert roles.role_by_header(["AppID", "Findings in Sept - December logs"]) == "DS6"
