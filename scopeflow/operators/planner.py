@@ -110,23 +110,22 @@ def best_sets(inst: Instance, k: int, budget: int = 2_000_000) -> tuple[int, lis
     """(freed, sources, certified, upper bound) of the best set of up to k sources: depth-first over atoms, heaviest first; a branch ends
     where even all lighter atoms that still fit could not beat the best so far. Past ``budget`` branches the result is not certified.
     """
-    atoms = [(a, w) for a, w in inst.atoms if len(a) <= k]
-    rest = [0] * (len(atoms) + 1)
-    for i in range(len(atoms) - 1, -1, -1):
-        rest[i] = rest[i + 1] + atoms[i][1]
+    names = sorted({x for a, _ in inst.atoms for x in a})
+    bit = {x: 1 << i for i, x in enumerate(names)}
+    atoms = [(sum(map(bit.get, a)), w) for a, w in inst.atoms if len(a) <= k]  # sets as bits
     start = frozenset(s for s, _, _ in greedy(inst, k))
-    best, best_set, seen, cut = inst.freed(start), start, 0, False
+    best, best_bits, seen, cut = inst.freed(start), None, 0, False
     upper = best
-    stack: list[tuple[int, frozenset[str], int]] = [(0, frozenset(), 0)]
+    stack: list[tuple[int, int, int]] = [(0, 0, 0)]
     while stack:
         i, chosen, got = stack.pop()
-        while i < len(atoms) and atoms[i][0] <= chosen:
+        while i < len(atoms) and not atoms[i][0] & ~chosen:
             got += atoms[i][1]
             i += 1
         if got > best:
-            best, best_set = got, chosen
-        room = k - len(chosen)
-        bound = got + sum(w for a, w in atoms[i:] if len(a - chosen) <= room)
+            best, best_bits = got, chosen
+        room, free = k - chosen.bit_count(), ~chosen
+        bound = got + sum([w for a, w in atoms[i:] if (a & free).bit_count() <= room])
         if bound <= best or i == len(atoms):
             continue
         seen += 1
@@ -135,8 +134,9 @@ def best_sets(inst: Instance, k: int, budget: int = 2_000_000) -> tuple[int, lis
             continue
         a, w = atoms[i]
         stack.append((i + 1, chosen, got))
-        if len(a - chosen) <= room:
+        if (a & free).bit_count() <= room:
             stack.append((i + 1, chosen | a, got + w))
+    best_set = start if best_bits is None else [x for x in names if bit[x] & best_bits]
     return best, sorted(best_set), not cut, max(best, upper)
 
 
