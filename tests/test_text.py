@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -52,3 +54,36 @@ def test_leaks_never_show_the_number(spark):
     with pytest.raises(tx.PanLeakError):
         tx.raise_if_leaked(tx.scan_for_leaks(df, "id"))
     tx.raise_if_leaked(tx.scan_for_leaks(tx.mask_all_cells(df).drop("masked_cells"), "id"))
+
+
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ("+1 (269) 555-3296 4524132264652876 and", "+1 (269) 555329xxx2413xxxxxx2876and"),  # 555-3296 and the six digits that stay pass the check
+        ("4111111111111111 4111111111111111", "411111xxxxxx1111 411111xxxxxx1111"),
+        ("4111111111111112", "4111111111111112"),
+        (None, None),
+    ],
+)
+def test_masks_make_no_new_card_number(spark, text, masked):
+    df = spark.createDataFrame([(1, text)], "id int, a string")
+    out = tx.mask_all_cells(df)
+    row = out.first()
+    assert (row.a, row.masked_cells) == (masked, int(text is not None and text != masked))
+    assert tx.scan_for_leaks(out.drop("masked_cells"), "id").count() == 0
+
+
+def test_masks_in_a_chain(spark):
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("0123456789", k=draw.choice((3, 4, 6, 7)))) for _ in range(400)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, a string")
+    once = df.withColumn("a", tx.sanitize_text(F.col("a")))
+    assert tx.scan_for_leaks(once, "id").count() > 0
+    assert tx.scan_for_leaks(tx.mask_all_cells(df).drop("masked_cells"), "id").count() == 0
+
+
+@pytest.mark.parametrize("between", [",", "\n", "é", "--"])
+def test_a_card_right_after_another_run_is_found(spark, between):
+    """The number before it fails the check, and the one character between them belongs to neither."""
+    df = spark.createDataFrame([(1, f"4111111111111112{between}4111111111111111")], "doc_id int, text string")
+    assert [r.masked for r in tx.scan_for_leaks(df, "doc_id").collect()] == ["411111xxxxxx1111"]
