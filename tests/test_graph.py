@@ -124,6 +124,30 @@ def test_plans_against_all_sets(seed):
         assert got >= curve[min(k, len(curve) - 1)]
 
 
+def test_many_overlapping_atoms_are_certified():
+    """252 sets of 70 origins, as the star estate has them: a bound by the summed weight of all sets that still fit prunes next to nothing."""
+    r = random.Random(11)
+    sources = [f"s{i:02d}" for i in range(70)]
+    atoms = {frozenset([s]): max(1, 40 // (i + 1)) for i, s in enumerate(sources[:36])}
+    while len(atoms) < 252:
+        atoms.setdefault(frozenset(r.sample(sources, r.randrange(2, 9))), r.randrange(1, 8))
+    inst = pl.Instance(tuple(sorted(atoms.items(), key=lambda a: (-a[1], sorted(a[0])))), tuple(sources))
+    curve = [0] + [f for _, _, f in pl.greedy(inst, 10)]
+    for k in range(11):
+        got, chosen, certified, upper = pl.best_sets(inst, k, 20_000)
+        assert certified and curve[k] <= got == upper == inst.freed(frozenset(chosen)) and len(chosen) <= k
+
+
+def test_a_search_beyond_its_budget_says_so():
+    r = random.Random(4)
+    sources = [f"s{i:02d}" for i in range(24)]
+    atoms = {frozenset(r.sample(sources, 3)): 1 for _ in range(160)}
+    inst = pl.Instance(tuple(atoms.items()), tuple(sources))
+    want = pl.best_sets(inst, 7)
+    got, chosen, certified, upper = pl.best_sets(inst, 7, 5)
+    assert want[2] and not certified and got == inst.freed(frozenset(chosen)) <= want[0] <= upper
+
+
 def test_cuts_count_all_sources(spark):
     """Of many sources, also those far down the list hold a target."""
     edges = [(f"s{i:04d}", "t") for i in range(300)] + [("t", "u"), ("s0000", "u"), ("s0000", "s0000")]
