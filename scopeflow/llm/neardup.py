@@ -36,6 +36,7 @@ UNIVERSE = 1 << 22
 #: Rows of a bucket beyond which it is split, and the most buckets that are.
 HOT, HOT_BUCKETS = 256, 100_000
 MARKS = 1 << 20  # hash values by which rows are sifted before they are shuffled
+GATHER, TOGETHER = 1024, 256  # shingles that are looked up at a time, signatures that are keyed at a time
 _PI: dict[int, np.ndarray] = {}
 
 
@@ -52,17 +53,17 @@ def signature(sets: np.ndarray, width: int = BANDS * BAND_ROWS) -> np.ndarray:
     windows = circulant_windows(width)
     places = (tk.mix64(sets + np.uint64(0x5851F42D4C957F2D)) & np.uint64(UNIVERSE - 1)).astype(np.int64)
     least = np.full(width, UNIVERSE, np.uint32)
-    for at in range(0, len(places), 1024):
-        np.minimum(least, windows[places[at : at + 1024]].min(axis=0), out=least)
+    for at in range(0, len(places), GATHER):
+        np.minimum(least, windows[places[at : at + GATHER]].min(axis=0), out=least)
     return least
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, different bands apart."""
-    rows = sig.reshape(BANDS, BAND_ROWS).astype(np.uint64)
+    """One 64-bit key per band of a signature, or of each of several; different bands apart."""
+    rows = sig.reshape(*sig.shape[:-1], BANDS, BAND_ROWS).astype(np.uint64)
     h = tk.mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
     for j in range(BAND_ROWS):
-        h = tk.mix64(h + rows[:, j])
+        h = tk.mix64(h + rows[..., j])
     return h
 
 
@@ -74,7 +75,10 @@ def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> Iterator[tuple[i
         h, row, _ = tk.shingles(words, tk.range_hashes(low, words.start, words.end), size)
         first = np.searchsorted(row, np.arange(b - a + 1))
         for i in range(b - a):
-            yield a + i, np.unique(h[first[i] : first[i + 1]])
+            own = np.sort(h[first[i] : first[i + 1]])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            yield a + i, own[new]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -90,14 +94,17 @@ def sketches(documents: DataFrame, also: tuple[str, ...] = (), count: Callable[[
         for batch in batches:
             n = batch.num_rows
             sizes, key1, key2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            bands, lengths = [np.zeros(0, np.uint64)], np.zeros(n + 1, np.int32)
+            bands, signatures, lengths = [np.zeros(0, np.uint64)], [], np.zeros(n + 1, np.int32)
             for i, own in shingle_sets(batch):
                 sizes[i] = len(own)
                 if len(own):
                     key1[i] = tk.mix64(own).sum(dtype=np.uint64)
                     key2[i] = tk.mix64(own ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64)
-                    bands.append(band_keys(signature(own)))
+                    signatures.append(signature(own))
                     lengths[i + 1] = BANDS
+                if signatures and (len(signatures) == TOGETHER or i + 1 == n):
+                    bands.append(band_keys(np.stack(signatures)).ravel())
+                    signatures = []
             cells = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(_signed(np.concatenate(bands))))
             more = {"n_tokens": pa.array(counted(batch.column("text")))} if counted else {}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(_signed(key1)), pa.array(_signed(key2)), cells, *more.values(), *(batch.column(c) for c in also)], ["doc_id", "n_shingles", "key1", "key2", "bands", *more, *also])

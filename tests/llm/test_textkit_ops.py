@@ -156,6 +156,14 @@ def test_viterbi_is_the_best_labelling(seed):
         assert score(got[a:b].tolist(), emit[a:b]) == pytest.approx(best)
 
 
+def test_signatures_keyed_together_are_keyed_alike():
+    sets = [np.sort(np.random.Generator(np.random.PCG64(i)).integers(0, 1 << 62, 40).astype(np.uint64)) for i in range(5)]
+    signatures = [neardup.signature(x) for x in sets]
+    assert np.array_equal(neardup.band_keys(np.stack(signatures)), np.stack([neardup.band_keys(x) for x in signatures]))
+    row, own = next(neardup.shingle_sets(pa.RecordBatch.from_pydict({"text": ["a b c d e a b c d e a b c d e"]})))
+    assert row == 0 and len(own) == 5 and np.all(own[1:] > own[:-1])
+
+
 def test_circulant_signature_estimates_similarity():
     r = np.random.default_rng(0)
     own = r.integers(1, 1 << 62, 700).astype(np.uint64)
