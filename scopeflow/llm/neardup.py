@@ -11,9 +11,10 @@ coordinate k (shifted circularly), and the least value over the set is coordinat
 a shingle's values for all coordinates are one contiguous run of pi.
 
 Work follows links, not pairs: equal sets form a class that is represented once; in each bucket of a band, members are compared with
-the bucket's hub, first one hub, then another drawn by hash. Members of buckets that still hold several components are then joined on their
+the bucket's hub. Buckets that still hold several components are then settled by comparing all pairs of them, if they have FEW members; in
+larger ones members are compared with another hub, drawn by hash, and those of buckets with several components even so are joined on their
 rarest shingles, which finds every link that is left between components. So a large group of copies costs as many comparisons as it has
-members, and no link between components is missed. Buckets that hold more than a share of all rows are split by a salt.
+members, and no link between components of a bucket is missed. Buckets that hold more than a share of all rows are split by a salt.
 """
 
 from __future__ import annotations
@@ -35,29 +36,87 @@ BANDS, BAND_ROWS = 48, 5
 UNIVERSE = 1 << 22
 #: Rows of a bucket beyond which it is split, and the most buckets that are.
 HOT, HOT_BUCKETS = 256, 100_000
+FEW = 8  # members of a bucket up to which all of its pairs are compared
 MARKS = 1 << 20  # hash values by which rows are sifted before they are shuffled
-GATHER, TOGETHER = 1024, 256  # shingles that are looked up at a time, signatures that are keyed at a time
-_PI: dict[int, np.ndarray] = {}
+GATHER = 1024  # shingles that are looked up at a time
+TOGETHER, TOGETHER_SHINGLES = 256, 1 << 17  # sets that are signed together, and the shingles in them beyond which no further one is
+DENSE = 64  # sets of fewer shingles are signed one by one
+BLOCK = 64  # places of the universe with one entry in an index of small values
+EXPECTED = 5  # a coordinate's small values in a set, on average, at least
+_PI: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_SMALL: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def circulant_windows(width: int, seed: int = 20240229) -> np.ndarray:
     """Row s holds pi(s), pi(s + 1), ..., pi(s + width - 1), circularly: a view on one permutation of the universe."""
     if width not in _PI:
         pi = np.random.Generator(np.random.PCG64(seed)).permutation(UNIVERSE).astype(np.uint32)
-        _PI[width] = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: width - 1]]), width)
-    return _PI[width]
+        pi = np.concatenate([pi, pi[: width - 1]])
+        _PI[width] = pi, np.lib.stride_tricks.sliding_window_view(pi, width)
+    return _PI[width][1]
+
+
+def _circular(width: int) -> np.ndarray:
+    """pi, and its first values again: what the windows are a view on."""
+    circulant_windows(width)
+    return _PI[width][0]
 
 
 def signature(sets: np.ndarray, width: int = BANDS * BAND_ROWS) -> np.ndarray:
     """The coordinates of one non-empty set of shingle hashes."""
     windows = circulant_windows(width)
-    places = (tk.mix64(sets + np.uint64(0x5851F42D4C957F2D)) & np.uint64(UNIVERSE - 1)).astype(np.int64)
+    places = _places(sets)
     least = np.full(width, UNIVERSE, np.uint32)
     for at in range(0, len(places), GATHER):
         np.minimum(least, windows[places[at : at + GATHER]].min(axis=0), out=least)
     return least
 
 
+def _places(sets: np.ndarray) -> np.ndarray:
+    """sigma of shingle hashes."""
+    return (tk.mix64(sets + np.uint64(0x5851F42D4C957F2D)) & np.uint64(UNIVERSE - 1)).astype(np.int64)
+
+
+def _small(width: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places where pi is below UNIVERSE >> level, pi there, how many of them lie before each BLOCK)."""
+    if (width, level) not in _SMALL:
+        pi = _circular(width)
+        at = np.flatnonzero(pi < UNIVERSE >> level)
+        _SMALL[width, level] = at.astype(np.int32), pi[at], np.searchsorted(at, np.arange(0, len(pi) + BLOCK, BLOCK)).astype(np.int32)
+    return _SMALL[width, level]
+
+
+def signatures(sets: list[np.ndarray], width: int = BANDS * BAND_ROWS) -> np.ndarray:
+    """``signature`` of each of the sets.
+
+    The least of n values of pi is about UNIVERSE / n. So only places where pi is so small are looked at, by an index of them: a few for each coordinate,
+    however many shingles there are. A coordinate that meets none of them is read in full.
+    """
+    out = np.empty((len(sets), width), np.uint32)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    levels = np.log2(np.maximum(sizes, 1) / EXPECTED).astype(np.int64)
+    for i in np.flatnonzero(sizes < DENSE).tolist():
+        out[i] = signature(sets[i], width)
+    for level in np.unique(levels[sizes >= DENSE]).tolist():
+        which = np.flatnonzero((sizes >= DENSE) & (levels == level))
+        at, value, before = _small(width, min(level, UNIVERSE.bit_length() - 1))
+        places = _places(np.concatenate([sets[i] for i in which.tolist()]))
+        ends = np.cumsum(sizes[which])
+        # Whole blocks are taken, so coordinates from -BLOCK to width + BLOCK come out.
+        span = width + 2 * BLOCK
+        least = np.full((len(which), span), UNIVERSE, np.uint32)
+        low = before[places // BLOCK]
+        many = before[(places + (width - 1)) // BLOCK + 1] - low
+        base = np.repeat(np.arange(len(which)) * span + BLOCK, sizes[which]) - places
+        one = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        np.minimum.at(least.ravel(), np.repeat(base, many) + at[one], value[one])
+        least = least[:, BLOCK : BLOCK + width]
+        for i, k in zip(*(x.tolist() for x in np.nonzero(least == UNIVERSE))):
+            least[i, k] = _circular(width)[places[ends[i] - sizes[which[i]] : ends[i]] + k].min()
+        out[which] = least
+    return out
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key per band of a signature, or of each of several; different bands apart."""
     rows = sig.reshape(*sig.shape[:-1], BANDS, BAND_ROWS).astype(np.uint64)
@@ -94,17 +153,20 @@ def sketches(documents: DataFrame, also: tuple[str, ...] = (), count: Callable[[
         for batch in batches:
             n = batch.num_rows
             sizes, key1, key2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            bands, signatures, lengths = [np.zeros(0, np.uint64)], [], np.zeros(n + 1, np.int32)
+            bands, sets, rows, held, lengths = [np.zeros(0, np.uint64)], [], [], 0, np.zeros(n + 1, np.int32)
             for i, own in shingle_sets(batch):
                 sizes[i] = len(own)
                 if len(own):
-                    key1[i] = tk.mix64(own).sum(dtype=np.uint64)
-                    key2[i] = tk.mix64(own ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64)
-                    signatures.append(signature(own))
-                    lengths[i + 1] = BANDS
-                if signatures and (len(signatures) == TOGETHER or i + 1 == n):
-                    bands.append(band_keys(np.stack(signatures)).ravel())
-                    signatures = []
+                    sets.append(own)
+                    rows.append(i)
+                    held += len(own)
+                if sets and (len(sets) == TOGETHER or held >= TOGETHER_SHINGLES or i + 1 == n):
+                    flat, first = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+                    key1[rows] = np.add.reduceat(tk.mix64(flat), first)
+                    key2[rows] = np.add.reduceat(tk.mix64(flat ^ np.uint64(0x94D049BB133111EB)), first)
+                    bands.append(band_keys(signatures(sets)).ravel())
+                    lengths[np.array(rows) + 1] = BANDS
+                    sets, rows, held = [], [], 0
             cells = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(_signed(np.concatenate(bands))))
             more = {"n_tokens": pa.array(counted(batch.column("text")))} if counted else {}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(_signed(key1)), pa.array(_signed(key2)), cells, *more.values(), *(batch.column(c) for c in also)], ["doc_id", "n_shingles", "key1", "key2", "bands", *more, *also])
@@ -115,7 +177,7 @@ def sketches(documents: DataFrame, also: tuple[str, ...] = (), count: Callable[[
 
 
 def full_sets(documents: DataFrame) -> DataFrame:
-    """doc_id and the whole set of shingle hashes."""
+    """doc_id, the whole set of shingle hashes, and a key of it."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,13 +193,14 @@ def full_sets(documents: DataFrame) -> DataFrame:
             if rows:
                 yield _set_batch(ids, rows, cells)
 
-    return documents.select("doc_id", "text").mapInArrow(tk.tidied(sets), "doc_id long, own array<long>")
+    return documents.select("doc_id", "text").mapInArrow(tk.tidied(sets), "doc_id long, own array<long>, key long")
 
 
 def _set_batch(ids: pa.Array, rows: list[int], cells: list[np.ndarray]) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_signed(np.concatenate(cells))))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), lists], ["doc_id", "own"])
+    keys = np.array([tk.mix64(c).sum(dtype=np.uint64) for c in cells], np.uint64)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), lists, pa.array(_signed(keys))], ["doc_id", "own", "key"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,6 +216,13 @@ def _sized(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _within(members: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b): pairs of a bucket's members of different components."""
+    one = members.select("bucket", F.col("rep").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
+    two = members.select("bucket", F.col("rep").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
+    return one.join(two, "bucket").where("a < b and c_a <> c_b").select("a", "b", "n_a", "n_b")
+
+
 def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b): pairs of members of different components that may be linked, without bounds on either side.
 
@@ -162,13 +232,14 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     once. Members that share a template of less than 6 / 7 of each, however many, meet on nothing. No link is lost.
     """
     ids = members.select(F.col("rep").alias("doc_id"), "component").distinct()
-    rows = sets.join(ids, "doc_id").select("doc_id", "component", F.size("own").alias("n"), F.explode("own").alias("shingle"))
+    rows = sets.join(ids, "doc_id").select("doc_id", "key", "component", F.size("own").alias("n"), F.explode("own").alias("shingle"))
     seen = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    seen = seen.select("shingle", F.when(F.col("low") == F.col("high"), 0).otherwise(F.col("m")).alias("weight"))
-    own = rows.join(seen, "shingle").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_set(F.struct("weight", "shingle"))).alias("own"))
-    own = own.where(4 * F.size(F.filter("own", lambda x: x["weight"] > 0)) >= 3 * F.size("own"))
-    first = F.posexplode(F.slice("own", F.lit(1), F.floor(F.size("own") / 4).cast("int") + 1)).alias("pos", "x")
-    first = own.select("doc_id", "component", F.size("own").alias("n"), first).where("x.weight > 0")
+    # What only one component has stands before the others, but only its number is needed.
+    seen = seen.where("low <> high").select("shingle", F.col("m").alias("weight"))
+    own = rows.join(seen, "shingle").groupBy("doc_id", "key", "component", "n").agg(F.sort_array(F.collect_list(F.struct("weight", "shingle"))).alias("own"))
+    own = own.where(4 * F.size("own") >= 3 * F.col("n")).withColumn("alone", F.col("n") - F.size("own"))
+    first = F.posexplode(F.slice("own", F.lit(1), F.floor(F.col("n") / 4).cast("int") + 1 - F.col("alone"))).alias("place", "x")
+    first = own.select("doc_id", "component", "n", "alone", first).withColumn("pos", F.col("alone") + F.col("place"))
     first = written(first.select("doc_id", "component", "n", "pos", F.col("x.shingle").alias("shingle")), "prefix")
     one = first.where("7 * pos <= n").select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), (F.col("n") - F.col("pos")).alias("left_a"))
     two = first.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), (F.col("n") - F.col("pos")).alias("left_b"))
@@ -234,7 +305,7 @@ def with_components(docs: DataFrame, documents: DataFrame) -> DataFrame:
         sets = full_sets(texts)
     else:  # a node that has several texts has several sets, each once
         again = full_sets(texts.join(repeated, "doc_id", "left_semi"))
-        sets = full_sets(texts.join(repeated, "doc_id", "left_anti")).unionAll(again.withColumn("key", F.xxhash64("own")).dropDuplicates(["doc_id", "key"]).drop("key"))
+        sets = full_sets(texts.join(repeated, "doc_id", "left_anti")).unionAll(again.dropDuplicates(["doc_id", "key"]))
     sets = written(sets, "sets")
 
     first = written(_sized(members.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))), "pairs")
@@ -245,18 +316,19 @@ def with_components(docs: DataFrame, documents: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component, with theirs and another hub, drawn by hash."""
         own = members.select("bucket", "salt", "salts", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         own = written(own, "labelled")
-        hubs = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("salts").alias("salts"), F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep", "n", "component")).alias("hub"))
-        return own.drop("salts").join(_for_salts(hubs.where("low <> high")).select("bucket", "salt", "hub"), ["bucket", "salt"])
+        hubs = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("salts").alias("salts"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep", "n", "component")).alias("hub"))
+        return own.drop("salts").join(_for_salts(hubs.where("low <> high")).select("bucket", "salt", "hub", "m"), ["bucket", "salt"])
 
     now = written(mixed(found), "mixed")
-    second = now.where("component <> hub.component").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))
+    second = now.where(F.col("m") > FEW).where("component <> hub.component").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))
+    second = second.unionAll(_within(now.where(F.col("m").between(3, FEW))))  # of two, one is the first hub
     second = written(_sized(second).join(first, ["a", "b"], "left_anti"), "pairs")
     more = written(_linked(second, sets), "links")
     links = links.unionAll(more)
     if not more.isEmpty():
         found = components(links)
         now = written(mixed(found), "mixed")
-    rest = written(_sized(_rest(now, sets)).join(first.unionAll(second), ["a", "b"], "left_anti"), "pairs")
+    rest = written(_sized(_rest(now.where(F.col("m") > FEW), sets)).join(first.unionAll(second), ["a", "b"], "left_anti"), "pairs")
     more = written(_linked(rest, sets), "links")
     if not more.isEmpty():
         found = components(links.unionAll(more))

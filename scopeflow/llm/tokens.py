@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopeflow.llm import pieces
+from scopeflow.llm import merges, pieces
 from scopeflow.llm import textkit as tk
 from scopeflow.llm.storage import bounded_batches, parallelism, written
 
@@ -82,8 +82,10 @@ class PieceEncoder:
     """Ids, or numbers of ids, of the texts of an Arrow column."""
 
     def __init__(self, path: str):
+        self.path = path
         self.tokenizer = load(path)
         self.merge = self.tokenizer.model.tokenize
+        self.merger: merges.Merger | bool | None = None  # made when numbers are asked for
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.known = Memory(lambda piece: array(self.kind.char, [t.id for t in self.merge(stand_ins(piece))]).tobytes())
@@ -110,13 +112,26 @@ class PieceEncoder:
                     n[i] = len(x)
             yield a, b, ids, n
 
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of ids of each piece: short ones are merged on arrays where the model allows it, others one by one."""
+        if self.merger is None:
+            self.merger = merges.Merger.of(self.path, byte_alphabet()) or False
+        size, n = end - start, np.zeros(len(start), np.int64)
+        short = size <= (merges.LONGEST if self.merger else 0)
+        if short.any():
+            n[short] = self.merger.counts(data, start[short], size[short])
+        if not short.all():
+            values, place = pieces.look_up(data, start[~short], end[~short], self.counts.many)
+            n[~short] = np.array(values, np.int64)[place]
+        return n
+
     def count(self, column: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
         out = [np.zeros(0, np.int64)]
         for a, b, data, offsets in tk.slices(column, LOOK_UP_BYTES):
             others, rows, start, end = _cut(data, offsets, True)
-            sizes, place = pieces.look_up(data, start, end, self.counts.many)
-            out.append(_sums(rows, sizes, place, b - a))
+            n = self.numbers(data, start, end)
+            out.append(np.bincount(rows, n, minlength=b - a).astype(np.int64))
             for i in others:
                 out[-1][i] = len(self.whole(_row(data, offsets, i)))
         return np.concatenate(out)

@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
 
-from scopeflow.llm import chat, decontaminate, neardup, packing, quality, repeats, secrets, suffixes, tokens, urls
+from scopeflow.llm import chat, decontaminate, merges, neardup, packing, quality, repeats, secrets, suffixes, tokens, urls
 from scopeflow.llm import queries as llm
 from scopeflow.llm import textkit as tk
 
@@ -173,6 +173,21 @@ def test_circulant_signature_estimates_similarity():
     assert (windows[5][1:] == windows[6][:-1]).all()
 
 
+def test_signatures_together_equal_those_apart():
+    """Sets of all sizes, signed together from small values only, in less time than one by one."""
+    r = np.random.default_rng(3)
+    sets = [r.integers(0, 1 << 62, n).astype(np.uint64) for n in (1, 2, neardup.DENSE - 1, neardup.DENSE, 65, 127, 128, 900, 5000, 60000, *[2000] * 90)]
+    seconds = []
+    for _ in range(3):
+        at = time.process_time()
+        apart = np.stack([neardup.signature(x) for x in sets])
+        between = time.process_time()
+        assert np.array_equal(neardup.signatures(sets), apart)
+        seconds.append((between - at) / (time.process_time() - between))
+    assert max(seconds) > 1.5
+    assert neardup.signatures([]).shape == (0, neardup.BANDS * neardup.BAND_ROWS)
+
+
 # ---- packing ----
 
 
@@ -288,6 +303,20 @@ def check_encoders(texts):
     assert tokens.counter_of(llm.WORD_BPE, WHOLE).count(column).tolist() == [len(WORDS.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+@pytest.mark.parametrize("slots", [4, merges.SLOTS])
+def test_short_pieces_are_merged_on_arrays(slots, monkeypatch):
+    """Pieces that were never seen are counted as the library does, without a call of it for each; few slots give the same."""
+    monkeypatch.setattr(merges, "SLOTS", slots)
+    r = random.Random(slots)
+    texts = [" ".join("".join(r.choices("etaoinshrdlcuéßü0\0'#", k=r.randrange(1, 16))) for _ in range(400)) for _ in range(8)] + ["", "aaaaaaaaaaaaaaa " * 9, words(500, 77)]
+    own = tokens.PieceEncoder(llm.BYTE_BPE)
+    merge, long = own.merge, []
+    own.merge = lambda piece: (long.append(len(piece)), merge(piece))[1]
+    for _ in range(2):  # the second time, from the table
+        assert own.count(pa.array(texts, pa.large_string())).tolist() == [len(BYTES.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert all(n > merges.LONGEST for n in long)
+
+
 def test_whole_table_equals_the_library(spark):
     """Queries 2 and 7 on the whole of documents."""
     table = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -384,6 +413,23 @@ def test_near_duplicates(spark, docs):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_small_buckets_need_no_search(spark, monkeypatch):
+    """Pairs, triples and quadruples that share buckets without being near are settled by comparing them."""
+    searched, rest = [], neardup._rest
+    monkeypatch.setattr(neardup, "_rest", lambda members, sets: (searched.append(members.count()), rest(members, sets))[1])
+    r, rows = random.Random(6), []
+    for family in range(24):
+        base = words(120, 500 + family).split()
+        for member in range(2 + family % 3):
+            own = list(base)
+            for k in r.sample(range(0, 120, 5), 4 + family % 2 if member else 0):
+                own[k] = f"f{family}m{member}k{k}"
+            rows.append((len(rows), " ".join(own)))
+    want = brute_components(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(make(spark, rows)).collect()}
+    assert got == want and 24 < len({c for _, c in want.values()}) and searched == [0]
+
+
 def test_links_in_a_large_family(spark):
     """A family of copies with edits: members far from the hub are linked through others."""
     r, rows = random.Random(5), []
